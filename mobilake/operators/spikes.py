@@ -55,23 +55,23 @@ class Chart:
     halo: int = 60
 
 
-def _walk(m: np.ndarray, c: Chart, start: np.ndarray, scale: np.ndarray) -> np.ndarray:
-    """Standard chart along axis 0: distance of each value from the mean before it, with the limits applied.
-
-    Returns signed excess: |distance| / limit, 0 where missing.
-    """
+def _walk(m: np.ndarray, c: Chart, start: np.ndarray, scale: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The chart along axis 0: mean and scale of every column as they stand before each step."""
     mean, s = start.copy(), scale.copy()
-    out = np.zeros_like(m)
+    means, scales = np.empty_like(m), np.empty_like(m)
     for t in range(len(m)):
-        x = m[t]
-        seen = ~np.isnan(x)
-        d = np.where(seen, x - mean, 0.0)
-        limit = np.where(d >= 0, np.maximum(c.floor_up, c.width * s), np.maximum(c.floor_down, c.width * s))
-        out[t] = d / limit
-        clipped = np.clip(d, -2.5 * s, 2.5 * s)
+        means[t], scales[t] = mean, s
+        seen = ~np.isnan(m[t])
+        clipped = np.clip(np.where(seen, m[t] - mean, 0.0), -2.5 * s, 2.5 * s)
         mean = mean + c.alpha * clipped
         s = np.where(seen, np.maximum(1e-3, (1 - c.alpha / 2) * s + c.alpha / 2 * 1.6 * np.abs(clipped)), s)
-    return out
+    return means, scales
+
+
+def _excess(x: np.ndarray, mean: np.ndarray, s: np.ndarray, c: Chart) -> np.ndarray:
+    """Signed distance from the mean in control limits."""
+    d = x - mean
+    return d / np.maximum(np.where(d >= 0, c.floor_up, c.floor_down), c.width * s)
 
 
 def _nanmedian(a: np.ndarray) -> np.ndarray:
@@ -99,7 +99,9 @@ def chart_group(pdf: pd.DataFrame, c: Chart) -> pd.DataFrame:
     m = np.full((int(step.max()) + 1, width), np.nan)
     use = placed & ~bad
     ix = np.flatnonzero(use)
-    m[step[ix][::-1], col[ix][::-1]] = x[ix][::-1]  # where one time has several values the smallest leads
+    usual = pd.Series(x[ix]).groupby(col[ix]).transform("median").to_numpy()
+    ix = ix[np.argsort(-np.abs(x[ix] - usual), kind="stable")]
+    m[step[ix], col[ix]] = x[ix]  # where one time has several values the most usual one leads
     med = _nanmedian(m)
     mad = 1.4826 * _nanmedian(np.abs(m - med))
     n = (~np.isnan(m)).sum(axis=0)
@@ -112,17 +114,10 @@ def chart_group(pdf: pd.DataFrame, c: Chart) -> pd.DataFrame:
         k = np.cumsum(~np.isnan(mm), axis=0)
         head = np.where((k <= 15) & ~np.isnan(mm), mm, np.nan)
         first = _nanmedian(head)
-        ends.append(_walk(mm, c, np.where(np.isnan(first), med, first), np.minimum(scale, c.floor_up / 2)))
-    fwd, bwd = ends[0], ends[1][::-1]
+        ends.append(_walk(mm, c, np.where(np.isnan(first), med, first), np.minimum(scale, c.floor_up / c.width)))
+    (fm, fs), (bm, bs) = ends[0], (e[::-1] for e in ends[1])
     spike = np.zeros(len(pdf), bool)
-    f, b = fwd[step, col], bwd[step, col]
-    # several values at one time: each is held against the same means
-    lead = m[step, col]
-    other = use & (np.nan_to_num(lead, nan=np.inf) != x)
-    if other.any():
-        sc = np.maximum(c.floor_up, c.width * scale[col])
-        f = np.where(other, (x - lead) / sc + f, f)
-        b = np.where(other, (x - lead) / sc + b, b)
+    f, b = _excess(x, fm[step, col], fs[step, col], c), _excess(x, bm[step, col], bs[step, col], c)
     enough = n[col] >= 5
     spike[use] = ((f > 1) & (b > 1) | (f < -1) & (b < -1))[use] & enough[use]
     loose = ~placed & ~bad

@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mobilake.functions import instants as I
-from mobilake.operators import compaction, instants, rolling, spatial, spikes
+from mobilake.operators import compaction, drift, instants, rolling, spatial, spikes
 
-LEVEL = spikes.Chart(low=15, high=140, floor_up=14.5, floor_down=14.5, width=8, alpha=0.15, run=6)
+LEVEL = spikes.Chart(low=15, high=140, floor_up=13, floor_down=13, width=5, alpha=0.15, run=6)
 COUNT = spikes.Chart(low=0, high=60_000, floor_up=1.7, floor_down=2.6, slots=24, log=True, run=10, chunk=64, halo=8)
-WARMTH = spikes.Chart(low=-35, high=52, floor_up=13.5, floor_down=13.5, width=6, alpha=0.3)
+WARMTH = spikes.Chart(low=-35, high=52, floor_up=13.5, floor_down=13.5, width=4, alpha=0.3)
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -28,6 +28,16 @@ def p1_rolling(spark: SparkSession, d: str) -> DataFrame:
     return out.select("station_id", F.date_format("day", "yyyy-MM-dd").alias("day"), *[f"{k}_{p}" for p in (7, 30) for k in ("n", "total", "avg")])
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """Fields added, removed, renamed or retyped between the files of a feed."""
+    return drift.changes(_t(spark, d, "afluencia_lugares_raw"))
+
+
+def p2_table(spark: SparkSession, d: str) -> DataFrame:
+    """The records as one table with one set of fields, and what did not fit as JSON."""
+    return drift.ingest(_t(spark, d, "afluencia_lugares_raw"))
+
+
 def _compaction(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, dict]:
     rows, files = _t(spark, d, "aforos_peatones_bicicletas"), _t(spark, d, "aforos_landing_files")
     return rows, files, {"skip": ["row_id", "file_id", "ingested_at"], "order_us": I.iso_us(F.col("ingested_at")), "only": F.col("measured_at").rlike(r"[^\s ]")}
@@ -109,4 +119,4 @@ def p7_instants(spark: SparkSession, d: str) -> DataFrame:
     return instants_of(spark, d).select("table_name", "row_id", F.date_format("instant_utc", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("instant_utc"), "instant_status")
 
 
-QUERIES = {"p1_found": p1_found, "p1_rolling": p1_rolling, "p3_found": p3_found, "p3_manifest": p3_manifest, "p4_found": p4_found, "p5_found": p5_found, "p7_found": p7_found, "p7_instants": p7_instants}
+QUERIES = {"p1_found": p1_found, "p1_rolling": p1_rolling, "p2_found": p2_found, "p2_table": p2_table, "p3_found": p3_found, "p3_manifest": p3_manifest, "p4_found": p4_found, "p5_found": p5_found, "p7_found": p7_found, "p7_instants": p7_instants}
