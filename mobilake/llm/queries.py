@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mobilake.llm import packing, tokens
+from mobilake.llm import packing, stuffing, tokens
 from mobilake.session import cut
 
 
@@ -29,4 +29,14 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return p9_packed(spark, d).where((F.col("pieces") > 1) & (F.col("piece") == 0)).select("doc_id")
 
 
-QUERIES = {"p8_ids": p8_ids, "p9_found": p9_found, "p9_packed": p9_packed}
+def p10_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Every document with the share of its text that is keyword stuffing, links or tags."""
+    return _documents(spark, d).select("doc_id", stuffing.stuffing_share(F.col("text")).alias("share"))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents more than half of whose text is stuffing."""
+    return p10_shares(spark, d).where("share > 0.5").select("doc_id")
+
+
+QUERIES = {"p8_ids": p8_ids, "p9_found": p9_found, "p9_packed": p9_packed, "p10_found": p10_found, "p10_shares": p10_shares}
