@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mobilake.llm import packing, stuffing, tokens
+from mobilake.llm import linkage, packing, stuffing, tokens
 from mobilake.session import cut
 
 
@@ -39,4 +39,19 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return p10_shares(spark, d).where("share > 0.5").select("doc_id")
 
 
-QUERIES = {"p8_ids": p8_ids, "p9_found": p9_found, "p9_packed": p9_packed, "p10_found": p10_found, "p10_shares": p10_shares}
+def p6_matches(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of the same event in both agendas with a confidence, by venue, title and date alone."""
+    r = spark.read.parquet(f"{d}/agenda_recintos.parquet")
+    e = linkage.madrid_date(spark.read.parquet(f"{d}/agenda_eventos.parquet").select("event_id", "title", "start_datetime", "location"), "start_datetime", "date")
+    left = linkage.records(r, "event_id", F.col("title"), F.col("venue_name"), F.try_to_date(F.col("start_datetime"), "yyyy-MM-dd"))
+    right = linkage.records(e, "event_id", F.col("title"), F.col("location.venue_name"), F.col("date"))
+    out = linkage.link(left, right, store=lambda df: cut(df, "candidates"))
+    return out.select(F.col("left_key").alias("recinto_event_id"), F.col("right_key").alias("evento_event_id"), "confidence")
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """The pairs alone."""
+    return p6_matches(spark, d).select("recinto_event_id", "evento_event_id")
+
+
+QUERIES = {"p6_found": p6_found, "p6_matches": p6_matches, "p8_ids": p8_ids, "p9_found": p9_found, "p9_packed": p9_packed, "p10_found": p10_found, "p10_shares": p10_shares}
