@@ -40,7 +40,7 @@ def p2_table(spark: SparkSession, d: str) -> DataFrame:
 
 def _compaction(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, dict]:
     rows, files = _t(spark, d, "aforos_peatones_bicicletas"), _t(spark, d, "aforos_landing_files")
-    return rows, files, {"skip": ["row_id", "file_id", "ingested_at"], "order_us": I.iso_us(F.col("ingested_at")), "only": F.col("measured_at").rlike(r"[^\s ]")}
+    return rows, files, {"skip": ["row_id", "file_id", "ingested_at"], "order_us": I.iso_us(F.col("ingested_at")), "only": F.col("measured_at").rlike(r"[^\s\u00a0]")}
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
