@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mobilake.session import work_path
+from mobilake.session import BROADCAST_LIMIT_BYTES, cut, work_path
 
 _PLAN = "file_id bigint, bytes bigint, bucket int, slot int, grp bigint"
 
@@ -141,6 +141,11 @@ def _writer(schema: pa.Schema, root: str, grp: str, row_id: str):
 MANIFEST = pa.schema([("grp", pa.int64()), ("path", pa.string()), ("n_rows", pa.int64()), ("id_sum", pa.int64()), ("bytes", pa.int64())])
 
 
+def _sized(df: DataFrame, rows: int, row_bytes: int = 40) -> DataFrame:
+    """Broadcast a table of two numbers a row while it is small; larger ones are shuffled."""
+    return F.broadcast(df) if rows * row_bytes <= BROADCAST_LIMIT_BYTES else df
+
+
 def compact(df: DataFrame, files: DataFrame, file_id: str, row_id: str, drop_ids: DataFrame | None = None, size: str = "n_bytes", target_bytes: int = 128 << 20, root: str | None = None) -> tuple[str, DataFrame]:
     """Write df, less drop_ids, as one Parquet file per output group; (folder, published manifest).
 
@@ -152,13 +157,18 @@ def compact(df: DataFrame, files: DataFrame, file_id: str, row_id: str, drop_ids
     root = root if "://" in root else f"file://{root}"
     fs, base = pafs.FileSystem.from_uri(root)
     fs.create_dir(f"{base}/data", recursive=True)
-    p = plan(files, file_id, size, target_bytes).select(F.col("file_id").alias("__f"), "grp")
-    keep = df if drop_ids is None else df.join(drop_ids.select(F.col(row_id).alias("__drop")).distinct(), F.col(row_id) == F.col("__drop"), "left_anti")
-    total, id_sum, names = keep.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col(row_id).cast("decimal(38,0)")), F.lit(0))).first(), None, df.columns
-    total, id_sum = total[0], int(total[1])
-    n = max(1, p.select("grp").distinct().count())
+    p = cut(plan(files, file_id, size, target_bytes), "plan").select(F.col("file_id").alias("__f"), "grp")
+    n_files, n = p.agg(F.count(F.lit(1)), F.count_distinct("grp")).first()
+    total, id_sum = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col(row_id).cast("decimal(38,0)")), F.lit(0))).first()
+    keep, names, id_sum = df, df.columns, int(id_sum)
+    if drop_ids is not None:
+        drop = cut(drop_ids.select(F.col(row_id).alias("__drop")).distinct(), "dropped")
+        gone, gone_sum = drop.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col("__drop").cast("decimal(38,0)")), F.lit(0))).first()
+        total, id_sum = total - gone, id_sum - int(gone_sum)
+        keep = df.join(_sized(drop, gone), F.col(row_id) == F.col("__drop"), "left_anti")
+    n = max(1, n)
     lost = -1 - F.pmod(F.xxhash64(F.col(row_id)), F.lit(n))
-    rows = keep.join(p, F.col(file_id).cast("bigint") == F.col("__f"), "left").select(*[F.col(f"`{c}`") for c in names], F.coalesce("grp", lost).alias("__grp"))
+    rows = keep.join(_sized(p, n_files), F.col(file_id).cast("bigint") == F.col("__f"), "left").select(*[F.col(f"`{c}`") for c in names], F.coalesce("grp", lost).alias("__grp"))
     rows = rows.repartition(n, "__grp").sortWithinPartitions("__grp", row_id)
     from pyspark.sql.pandas.types import to_arrow_schema
 
