@@ -233,10 +233,14 @@ def madrid_date(df: DataFrame, text: str, to: str, zone: str = "Europe/Madrid")
     return d.withColumn(to, F.coalesce(local, written)).drop("__i", "__w")
 
 
-def records(df: DataFrame, key: str, title: Column, venue: Column, date: Column) -> tuple[DataFrame, DataFrame]:
-    """(members: key and class; classes: class, date and the normalised record)."""
+def records(df: DataFrame, key: str, title: Column, venue: Column, date: Column, store=lambda df: df) -> tuple[DataFrame, DataFrame]:  # noqa: ANN001
+    """(members: key and class; classes: class, date and the normalised record).
+
+    ``store`` keeps the normalised records, which both results read.
+    """
     d = df.select(F.col(key).alias("key"), date.alias("date"), _normal(title, venue).alias("r")).where(F.col("key").isNotNull() & F.col("date").isNotNull() & (F.size("r.names") > 0))
     d = d.withColumn("cls", F.xxhash64("date", F.array_join("r.names", " "), F.lit("|"), "r.initials", F.lit("|"), "r.ensemble", F.lit("|"), F.array_join("r.venue", " ")))
+    d = store(d)
     return d.select("key", "cls").distinct(), d.groupBy("cls").agg(F.first("date").alias("date"), F.first("r").alias("r"))
 
 
