@@ -13,7 +13,7 @@ posterior of its pattern.
 
 Defined cases: records without readable date or without any show name match
 nothing; a missing venue abstains, so show and date decide, while
-two venues that contradict each other are never the same event; repeated captures
+two venues, or two shows, that contradict each other are never the same event; repeated captures
 of an event give one pair; null titles match nothing; empty tables give no
 rows; extra columns are ignored.
 """
@@ -260,7 +260,9 @@ def link(left: tuple[DataFrame, DataFrame], right: tuple[DataFrame, DataFrame],
     posterior = fit(counts)
     table = [x for k, v in posterior.items() if v >= least for x in (F.lit(",".join(map(str, k))), F.lit(v))]
     score = F.try_element_at(F.create_map(*table), F.array_join(F.col("v").cast("array<string>"), ",")) if table else F.lit(None).cast("double")
-    # the exact check after the model: two venues that contradict each other are two events
-    pairs = cand.where(F.get("v", F.lit(FUNCTIONS.index("venue"))) != -1).withColumn("confidence", score).where(F.col("confidence").isNotNull())
+    # the exact check after the model: venues or shows that contradict each other are two events
+    vote = lambda name: F.get("v", F.lit(FUNCTIONS.index(name)))
+    agree = (vote("venue") != -1) & ((vote("names") != -1) | (vote("title_grams") == 1))
+    pairs = cand.where(agree).withColumn("confidence", score).where(F.col("confidence").isNotNull())
     out = pairs.join(lm.withColumnsRenamed({"key": "left_key", "cls": "lcls"}), "lcls").join(rm.withColumnsRenamed({"key": "right_key", "cls": "rcls"}), "rcls")
     return out.groupBy("left_key", "right_key").agg(F.max("confidence").alias("confidence"))
