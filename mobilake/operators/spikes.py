@@ -158,6 +158,8 @@ def flag(df: DataFrame, row_id: str, series: Column, value: Column, step: Column
         F.col(row_id).alias("row_id"), F.coalesce(series, F.lit("\u0000")).alias("series"), v.alias("v"),
         step.isNotNull().alias("placed"), F.coalesce(step, fallback_step, F.lit(0)).cast("int").alias("step"), F.coalesce(slot, F.lit(0)).cast("int").alias("slot"), F.coalesce(order, F.lit(0)).cast("bigint").alias("t"),
     )
+    odd = rows.where(F.isnan("v")).select("row_id", F.lit("impossible").alias("reason"))  # NaN would come back from pandas as null
+    rows = rows.where(~F.isnan("v"))
     distinct = rows.groupBy("series", "t", "v", "placed", "step", "slot").agg(F.count(F.lit(1)).alias("n"))
     n_series = max(1, rows.select(F.approx_count_distinct("series")).first()[0])
     buckets = -(-n_series // per_group)
@@ -167,4 +169,4 @@ def flag(df: DataFrame, row_id: str, series: Column, value: Column, step: Column
     flagged = g.groupBy("bucket", "chunk").applyInPandas(lambda pdf: chart_group(pdf, c), "series string, t bigint, v double, placed boolean, reason string")
     flagged = flagged.groupBy("series", "t", "v", "placed").agg(F.min("reason").alias("reason"))
     r = rows.alias("r").join(flagged.alias("f"), [F.col("r.series") == F.col("f.series"), F.col("r.t") == F.col("f.t"), F.col("r.v") == F.col("f.v"), F.col("r.placed") == F.col("f.placed")])
-    return r.select("r.row_id", "f.reason")
+    return r.select("r.row_id", "f.reason").unionByName(odd)
