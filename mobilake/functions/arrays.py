@@ -12,8 +12,12 @@ from mobilake.functions.times import WEEKDAYS
 
 def week_profile(entries: Column) -> Column:
     """array<struct(name, data)> to a struct with one array per weekday key; the last of a name wins. [C2]"""
-    last = lambda d: F.element_at(F.filter(entries, lambda e: F.lower(e["name"]) == d), -1)["data"]
-    return F.when(entries.isNotNull(), F.struct(*[F.when(F.exists(entries, lambda e, d=d: F.lower(e["name"]) == d), last(d)).alias(d) for d in WEEKDAYS]))
+
+    def last(day: str) -> Column:
+        of_day = F.filter(entries, lambda e: F.lower(e["name"]) == day)
+        return F.try_element_at(of_day, F.lit(-1))["data"]
+
+    return F.when(entries.isNotNull(), F.struct(*[last(d).alias(d) for d in WEEKDAYS]))
 
 
 def profile_at(profile: Column, clock: Column) -> Column:
@@ -51,7 +55,11 @@ def whole_day(entries: Column, value: str = "value") -> Column:
 
 def parameters(entries: Column, *names: str) -> Column:
     """First non-null value among parameter names; of repeated names the last counts. [C7]"""
-    return F.coalesce(*[F.try_element_at(F.filter(entries, lambda e, n=n: e["valueName"] == n), F.lit(-1))["value"] for n in names])
+
+    def last(name: str) -> Column:
+        return F.try_element_at(F.filter(entries, lambda e: e["valueName"] == name), F.lit(-1))["value"]
+
+    return F.coalesce(*[last(n) for n in names])
 
 
 def point_of(coordinates: Column) -> Column:
