@@ -45,6 +45,7 @@ class Mart:
     silver_keys: Sequence[str] = ("fecha", "hora")
     gold_keys: Sequence[str] = ("date",)
     unique: str | None = None
+    context_days: int = 0  # days before and after a changed day that its gold rows look at
 
 
 def _clock(c: str) -> Column:
@@ -197,6 +198,7 @@ MARTS: dict[str, Mart] = {
             lambda df: df.withColumn("fecha", F.col("measured_date")),
             _noise_gold,
             silver_keys=("fecha",),
+            context_days=6,
         ),
         Mart(
             "aforos_peatones_bicicletas",

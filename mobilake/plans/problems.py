@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from mobilake.functions import instants as I
 from mobilake.operators import compaction, drift, instants, rolling, spatial, spikes
 
-LEVEL = spikes.Chart(low=15, high=140, floor_up=13, floor_down=13, width=5, alpha=0.15, run=6)
+LEVEL = spikes.Chart(low=15, high=140, floor_up=14, floor_down=14, width=5, alpha=0.15, run=6)
 COUNT = spikes.Chart(low=0, high=60_000, floor_up=1.7, floor_down=2.6, slots=24, log=True, run=10, chunk=64, halo=8)
 WARMTH = spikes.Chart(low=-35, high=52, floor_up=13.5, floor_down=13.5, width=4, alpha=0.3)
 

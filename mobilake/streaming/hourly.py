@@ -42,8 +42,9 @@ def land(stream: DataFrame, mart: Mart, silver_path: str, gold_path: str, checkp
 
     Each batch appends nothing: it rewrites the silver partitions it touches
     (old rows of these plus new ones, repeats dropped) and recomputes gold of
-    exactly these days, so late rows and replays give the same tables. An
-    empty batch does nothing.
+    exactly these days (and of those whose trailing days they are), so late
+    rows and replays give the same tables. An empty batch does nothing. The
+    days of a batch are few, whatever its rows, and are broadcast.
     """
 
     def batch(rows: DataFrame, _: int) -> None:
@@ -52,13 +53,26 @@ def land(stream: DataFrame, mart: Mart, silver_path: str, gold_path: str, checkp
         spark = rows.sparkSession
         good, _bad = silver(mart, rows)
         good = good.persist()
-        touched = good.select(mart.silver_keys[0]).distinct()
-        old = read_table(spark, silver_path, good.schema).join(F.broadcast(touched), mart.silver_keys[0], "left_semi")
+        day = mart.silver_keys[0]
+        touched = good.select(day).distinct()
+        old = read_table(spark, silver_path, good.schema).join(F.broadcast(touched), day, "left_semi")
         merged = old.unionByName(good).distinct()
         cut = f"{checkpoint}/merge"
         merged.write.mode("overwrite").parquet(cut)
         write_partitions(spark.read.schema(good.schema).parquet(cut), silver_path, mart.silver_keys)
-        g = gold(mart, spark.read.schema(good.schema).parquet(cut), processed_at)
+        changed = spark.read.schema(good.schema).parquet(cut)
+        if mart.context_days:
+
+            def near(before: int, after: int) -> DataFrame:
+                d = F.to_date(F.col(day))
+                span = touched.select(F.explode(F.sequence(F.date_sub(d, before), F.date_add(d, after))).alias("d"))
+                return span.select(F.col("d").cast("string").alias(day)).distinct()
+
+            n = mart.context_days
+            rows_near = read_table(spark, silver_path, good.schema).join(F.broadcast(near(n, n)), day, "left_semi")
+            g = gold(mart, rows_near, processed_at).join(F.broadcast(near(0, n).withColumnRenamed(day, mart.gold_keys[0])), mart.gold_keys[0], "left_semi")
+        else:
+            g = gold(mart, changed, processed_at)
         write_partitions(g, gold_path, mart.gold_keys)
         good.unpersist()
 

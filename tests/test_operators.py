@@ -212,6 +212,20 @@ def test_stream_equals_batch_and_late_rows(spark, tmp_path):
     assert spark.read.parquet(silver).count() == 3
 
 
+NOISE = "station_id string, station_name string, district string, neighbourhood string, period string, period_name string, measured_date string, ingested_at string, laeq_db double, l1_db double, l10_db double, l50_db double, l90_db double, l99_db double, location struct<lat:double,lon:double,altitude_m:int>"
+
+
+def test_stream_trailing_week_sees_late_days(spark, tmp_path):
+    row = lambda d, v: ("s", "n", None, None, "D", "d", d, "2026-08-20T09:00:00+02:00", v, None, None, None, None, None, None)
+    landed, silver, gold, check = (str(tmp_path / x) for x in ("landed", "silver", "gold", "check"))
+    for batch in ([row("2026-08-03", 60.0), row("2026-08-05", 70.0), row("2026-08-12", 50.0)], [row("2026-08-04", 80.0)]):
+        df = spark.createDataFrame(batch, NOISE)
+        df.coalesce(1).write.mode("append").parquet(landed)
+        hourly.land(hourly.file_stream(spark, landed, df.schema), specs.MARTS["ruido"], silver, gold, check, "now").awaitTermination()
+    got = {r.date: (r.laeq_rolling_7d_avg_db, r.laeq_rolling_7d_days) for r in spark.read.parquet(gold).collect()}
+    assert got == {"2026-08-03": (60.0, 1), "2026-08-04": (70.0, 2), "2026-08-05": (70.0, 3), "2026-08-12": (50.0, 1)}
+
+
 def test_windowed_stream_and_dedupe(spark, tmp_path):
     rows = [(i, datetime(2025, 1, 1, i % 3, i), "u", float(i)) for i in range(30)] + [(5, datetime(2025, 1, 1, 2, 5), "u", 5.0)]
     path = str(tmp_path / "e")
