@@ -52,13 +52,23 @@ def _clock(c: str) -> Column:
     return times.local_clock(times.iso_instant(F.col(c)), ZONE)
 
 
-def _at(c: str) -> Column:
+def _instant(c: str) -> Column:
     return times.iso_instant(F.col(c))
 
 
+def _at(c: str) -> Column:
+    """Instant of a time text, parsed once by _timed."""
+    return F.col(f"__at_{c}")
+
+
+def _timed(df: DataFrame, *names: str) -> DataFrame:
+    """df with the instants that the aggregates order by, one column per time text."""
+    return df.withColumns({f"__at_{n}": _instant(n) for n in names})
+
+
 def _hourly(df: DataFrame, time: str) -> DataFrame:
-    k = _clock(time)
-    return df.withColumns({"date": times.date_key(k), "hour": F.hour(k)})
+    d = _timed(df, time).withColumn("__clock", times.local_clock(_at(time), ZONE))
+    return d.withColumns({"date": times.date_key(F.col("__clock")), "hour": F.hour("__clock")})
 
 
 def _keys(df: DataFrame, time: str, hour: bool = True) -> DataFrame:
@@ -100,7 +110,7 @@ def _noise_gold(df: DataFrame) -> DataFrame:
     """Daily means per station and period, then the trailing seven calendar days."""
     levels = ("laeq_db", "l1_db", "l10_db", "l50_db", "l90_db", "l99_db")
     m = _firsts("ingested_at", "station_name", "period_name", "district", "neighbourhood", "location.lat", "location.lon", "location.altitude_m") | _avg(*levels) | _extreme("laeq_db")
-    g = rollup.rollup(df, ["station_id", "period", "measured_date"], m, ["station_id", "period"])
+    g = rollup.rollup(_timed(df, "ingested_at"), ["station_id", "period", "measured_date"], m, ["station_id", "period"])
     g = rollup.calendar_rolling(g, ["station_id", "period"], times.iso_date(F.col("measured_date")), "avg_laeq_db", 7, "laeq_rolling_7d_avg_db", "laeq_rolling_7d_days")
     return g.withColumnRenamed("measured_date", "date")
 
@@ -139,12 +149,13 @@ def _forecast_gold(df: DataFrame) -> DataFrame:
     lead = times.lead_days(times.iso_date(F.col("valid_date")), _clock("ingested_at").cast("date"))
     m = {"municipio_name": rollup.earliest(F.col("municipio_name"), _at("ingested_at"))} | _avg("temperature_max_c", "temperature_min_c", "precipitation_probability_pct")
     m |= {"max_temperature_max_c": F.max("temperature_max_c"), "min_temperature_min_c": F.min("temperature_min_c"), "max_precipitation_probability_pct": F.max("precipitation_probability_pct"), "first_valid_date": F.min("valid_date"), "last_valid_date": F.max("valid_date")}
-    return rollup.rollup(df.withColumn("leadtime_days", lead), ["municipio_code", "leadtime_days"], m, ["municipio_code"])
+    return rollup.rollup(_timed(df.withColumn("leadtime_days", lead), "ingested_at"), ["municipio_code", "leadtime_days"], m, ["municipio_code"])
 
 
 def _crowd_gold(df: DataFrame) -> DataFrame:
-    k = _clock("ingested_at")
-    d = df.withColumns({"date": times.date_key(k), "hour": F.hour(k), "day_of_week": times.weekday_name(k), "typical_value": arrays.profile_at(F.col("typical_by_hour"), k)})
+    d = _timed(df, "ingested_at").withColumn("__clock", times.local_clock(_at("ingested_at"), ZONE))
+    k = F.col("__clock")
+    d = d.withColumns({"date": times.date_key(k), "hour": F.hour(k), "day_of_week": times.weekday_name(k), "typical_value": arrays.profile_at(F.col("typical_by_hour"), k)})
     m = _firsts("ingested_at", "name", "day_of_week", "lat", "lon") | {"avg_live_pct": F.avg("live_pct"), "typical_pct": F.avg("typical_value")} | _span("ingested_at")
     return rollup.rollup(d, ["place_id", "date", "hour"], m, ["place_id"])
 
@@ -208,9 +219,9 @@ MARTS: dict[str, Mart] = {
         ),
         Mart(
             "cartelera_cines_estrenos",
-            lambda: [Rule("not_a_screening_session", F.col("record_type") == "estreno_semana"), gate.missing("movie_title"), gate.missing("cinema_id"), gate.missing("showtime_id"), *gate.instant("showtime_datetime"), *gate.instant("captured_at"), Rule("showtime_already_passed", _at("showtime_datetime") < _at("captured_at"))],
+            lambda: [Rule("not_a_screening_session", F.col("record_type") == "estreno_semana"), gate.missing("movie_title"), gate.missing("cinema_id"), gate.missing("showtime_id"), *gate.instant("showtime_datetime"), *gate.instant("captured_at"), Rule("showtime_already_passed", _instant("showtime_datetime") < _instant("captured_at"))],
             lambda df: _renamed(_keys(df, "showtime_datetime", hour=False)),
-            lambda df: rollup.rollup(df.withColumnRenamed("fecha", "date"), ["movie_url", "cinema_id", "date"], {"sessions_count": rollup.distinct_count(F.col("showtime_id")), "language_versions": rollup.distinct_list(F.col("language_version"))} | _firsts("showtime_datetime", "movie_title", "chain", "cinema_name", "address", "postal_code", "locality") | _span("showtime_datetime"), ["movie_url", "cinema_id"]),
+            lambda df: rollup.rollup(_timed(df.withColumnRenamed("fecha", "date"), "showtime_datetime"), ["movie_url", "cinema_id", "date"], {"sessions_count": rollup.distinct_count(F.col("showtime_id")), "language_versions": rollup.distinct_list(F.col("language_version"))} | _firsts("showtime_datetime", "movie_title", "chain", "cinema_name", "address", "postal_code", "locality") | _span("showtime_datetime"), ["movie_url", "cinema_id"]),
             silver_keys=("fecha",),
         ),
         Mart(
@@ -239,7 +250,7 @@ MARTS: dict[str, Mart] = {
             "aemet_avisos",
             lambda: [gate.missing("identifier"), gate.missing("zone"), gate.one_of("level", ("amarillo", "naranja", "rojo")), gate.missing("phenomenon"), *gate.instant("effective_from", zoned=False), *[Rule(r.reason.replace("captured_at", "ingested_at"), r.bad) for r in gate.instant("captured_at")]],
             lambda df: _renamed(df).withColumn("fecha", F.substring("effective_from", 1, 10)),
-            lambda df: rollup.rollup(df, ["zone", "fecha", "level"], {"alerts_count": rollup.distinct_count(F.col("identifier")), "phenomena": rollup.distinct_list(F.col("phenomenon")), "first_effective_from": rollup.first_by(F.col("effective_from"), _at("effective_from")), "last_effective_until": rollup.last_by(F.col("effective_until"), _at("effective_until"))}, ["zone", "level"]),
+            lambda df: rollup.rollup(_timed(df, "effective_from", "effective_until"), ["zone", "fecha", "level"], {"alerts_count": rollup.distinct_count(F.col("identifier")), "phenomena": rollup.distinct_list(F.col("phenomenon")), "first_effective_from": rollup.first_by(F.col("effective_from"), _at("effective_from")), "last_effective_until": rollup.last_by(F.col("effective_until"), _at("effective_until"))}, ["zone", "level"]),
             silver_keys=("fecha",),
             gold_keys=("fecha",),
         ),
@@ -247,7 +258,7 @@ MARTS: dict[str, Mart] = {
             "cams_calidad_aire",
             lambda: [gate.missing("pollutant"), gate.missing("pollutant_code"), *gate.instant("valid_datetime"), *gate.instant("forecast_issued_at"), gate.null("leadtime_hour"), gate.negative("leadtime_hour"), *gate.instant("ingested_at"), gate.null("value"), gate.negative("value"), Rule("value_out_of_plausible_range", numbers.excess(F.col("pollutant"), F.col("value"), MODEL_POLLUTANT_MAX) > 0)],
             lambda df: _keys(df, "valid_datetime", hour=False),
-            lambda df: rollup.rollup(df.withColumn("fecha_validez", times.date_key(_clock("valid_datetime"))), ["pollutant", "fecha_validez"], _firsts("forecast_issued_at", "pollutant_code", "unit") | _avg("value") | {"max_value": F.max("value"), "leadtime_hours": F.sort_array(F.collect_set("leadtime_hour"))} | _span("forecast_issued_at"), ["pollutant"]),
+            lambda df: rollup.rollup(_timed(df.withColumn("fecha_validez", times.date_key(_clock("valid_datetime"))), "forecast_issued_at"), ["pollutant", "fecha_validez"], _firsts("forecast_issued_at", "pollutant_code", "unit") | _avg("value") | {"max_value": F.max("value"), "leadtime_hours": F.sort_array(F.collect_set("leadtime_hour"))} | _span("forecast_issued_at"), ["pollutant"]),
             silver_keys=("fecha",),
             gold_keys=("pollutant",),
         ),

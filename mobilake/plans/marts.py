@@ -117,3 +117,20 @@ def places_near_events(spark: SparkSession, d: str) -> DataFrame:
 
 for f in (gold_ruido, gold_aforos, gold_agenda, gold_aemet, gold_afluencia, rejected_rows, expected_crowd, noise_now, places_near_events):
     QUERIES[f.__name__] = f
+
+
+def streaming_hourly(spark: SparkSession, d: str) -> DataFrame:
+    """[T1, T3] the hourly roll-up as a stream over the landed files, run until all of them are read; equals the batch."""
+    from mobilake.session import work_path
+    from mobilake.streaming import hourly
+
+    schema = _t(spark, d, "events").schema
+    stream = hourly.file_stream(spark, f"{d}/events.parquet*", schema)
+    counts = hourly.windowed(stream, "ts", ["user_id"], {"samples_count": F.count(F.lit(1)), "max_value": F.max("value")}, lateness=None)
+    out = work_path(spark, "stream")
+    counts.writeStream.outputMode("complete").foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(f"{out}/rows")).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(counts.schema).parquet(f"{out}/rows").select("user_id", F.date_format("start", "yyyy-MM-dd HH").alias("hour"), "samples_count", "max_value")
+
+
+QUERIES["streaming_hourly"] = streaming_hourly
+SQL["streaming_hourly"] = "SELECT user_id, strftime(ts,'%Y-%m-%d %H') AS hour, count(*) AS samples_count, max(value) AS max_value FROM events GROUP BY ALL"
