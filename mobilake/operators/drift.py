@@ -215,10 +215,23 @@ def ingest(df: DataFrame, record: str = "record", names: Mapping[str, Sequence[s
         for a in alias:
             raw = F.to_json(F.try_variant_get("__v", f"$.{a}", "variant"))
             left.append(F.when(got.isNull() & raw.isNotNull() & (raw != "null"), F.concat(F.lit(f'"{a}":'), raw)))
-    known = {a for ns in names.values() for a in ns} | {"location"}
-    pairs = F.map_entries(F.from_json(F.when(whole, F.col(record)), "map<string,string>"))
-    quoted = F.transform(F.filter(pairs, lambda p: ~p["key"].isin(*sorted(known)) & p["value"].isNotNull()), lambda p: F.regexp_replace(F.to_json(F.create_map(p["key"], p["value"])), r"^\{|\}$", ""))
-    items = F.concat(F.array_compact(F.array(*left)), F.coalesce(quoted, F.array().cast("array<string>")))
+    known = {a for ns in names.values() for a in ns}
+    nested = sorted({a.partition(".")[0] for a in known if "." in a})
+
+    def unknown(obj: Column, prefix: str) -> Column:
+        """Fields of an object that no approved name covers, as JSON without the outer braces; null when there are none."""
+        m = F.from_json(obj, "map<string,variant>")
+        m = F.map_filter(m, lambda k, v: ~F.concat(F.lit(prefix), k).isin(*sorted(known), *([] if prefix else nested)) & F.to_json(v).isNotNull() & (F.to_json(v) != "null"))
+        m = F.transform_keys(m, lambda k, v: F.concat(F.lit(prefix), k)) if prefix else m
+        return F.when(F.size(m) > 0, F.regexp_replace(F.to_json(m), r"^\{|\}$", ""))
+
+    left.append(unknown(F.when(whole, F.col(record)), ""))
+    for n in nested:
+        v = F.try_variant_get("__v", f"$.{n}", "variant")
+        is_object = F.schema_of_variant(v).startswith("OBJECT")
+        left.append(unknown(F.when(is_object, F.to_json(v)), f"{n}."))
+        left.append(F.when(~is_object & (F.to_json(v) != "null"), F.concat(F.lit(f'"{n}":'), F.to_json(v))))
+    items = F.array_compact(F.array(*left))
     broken = F.when(~whole & F.col(record).isNotNull(), F.to_json(F.struct(F.col(record).alias("_record"))))
     d = d.withColumn(rescue, F.coalesce(broken, F.when(F.size(items) > 0, F.concat(F.lit("{"), F.array_join(items, ","), F.lit("}")))))
     return d.select(*keep, *cols, rescue)
