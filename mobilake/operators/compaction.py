@@ -157,8 +157,8 @@ def compact(df: DataFrame, files: DataFrame, file_id: str, row_id: str, drop_ids
     root = root if "://" in root else f"file://{root}"
     fs, base = pafs.FileSystem.from_uri(root)
     fs.create_dir(f"{base}/data", recursive=True)
-    p = cut(plan(files, file_id, size, target_bytes), "plan").select(F.col("file_id").alias("__f"), "grp")
-    n_files, n = p.agg(F.count(F.lit(1)), F.count_distinct("grp")).first()
+    p = cut(plan(files, file_id, size, target_bytes), "plan").select(F.col("file_id").alias("__f"), F.col("grp").alias("__g"))
+    n_files, n = p.agg(F.count(F.lit(1)), F.count_distinct("__g")).first()
     total, id_sum = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col(row_id).cast("decimal(38,0)")), F.lit(0))).first()
     keep, names, id_sum = df, df.columns, int(id_sum)
     if drop_ids is not None:
@@ -168,7 +168,7 @@ def compact(df: DataFrame, files: DataFrame, file_id: str, row_id: str, drop_ids
         keep = df.join(_sized(drop, gone), F.col(row_id) == F.col("__drop"), "left_anti")
     n = max(1, n)
     lost = -1 - F.pmod(F.xxhash64(F.col(row_id)), F.lit(n))
-    rows = keep.join(_sized(p, n_files), F.col(file_id).cast("bigint") == F.col("__f"), "left").select(*[F.col(f"`{c}`") for c in names], F.coalesce("grp", lost).alias("__grp"))
+    rows = keep.join(_sized(p, n_files), F.col(file_id).cast("bigint") == F.col("__f"), "left").select(*[F.col(f"`{c}`") for c in names], F.coalesce("__g", lost).alias("__grp"))
     rows = rows.repartition(n, "__grp").sortWithinPartitions("__grp", row_id)
     from pyspark.sql.pandas.types import to_arrow_schema
 

@@ -200,8 +200,11 @@ def ingest(df: DataFrame, record: str = "record", names: Mapping[str, Sequence[s
 
     The rescue column is a JSON object of every field that is unknown or whose
     value could not be cast, or the whole text of an unreadable record under
-    the key ``_record``; null when nothing was left over.
+    the key ``_record``; null when nothing was left over. Columns of df that
+    bear the name of a target column are kept as ``in_`` and their name.
     """
+    taken = {f.replace(".", "_") for f in names} | {rescue}
+    df = df.withColumnsRenamed({c: f"in_{c}" for c in df.columns if c in taken and c != record})
     keep = [c for c in df.columns if c != record]
     d = df.withColumn("__v", F.try_parse_json(F.col(record)))
     whole = F.coalesce(F.schema_of_variant("__v").startswith("OBJECT"), F.lit(False))
