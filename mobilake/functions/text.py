@@ -38,10 +38,10 @@ def unescape(c: pa.Array) -> pa.Array:
 def strip_tags(c: Column) -> Column:
     """Tags become spaces, entities are decoded, white space collapses. [X2]
 
-    The entity decoder runs only where an ampersand is left.
+    The entity decoder gets null for texts without an ampersand, so it works on few.
     """
     t = F.regexp_replace(c, r"<[^>]*>", " ")
-    return collapse(F.when(F.contains(t, F.lit("&")), unescape(t)).otherwise(t))
+    return collapse(F.coalesce(unescape(F.when(F.contains(t, F.lit("&")), t)), t))
 
 
 def shorten(c: Column, n: int = 400) -> Column:
