@@ -197,3 +197,30 @@ def forecast_days(raw: DataFrame, captured: Column, source: str = "prevision") -
     d = raw.select("id", "nombre", "provincia", "elaborado", F.explode("dia").alias("d"))
     pick = lambda c, v="value": arrays.whole_day(F.col(f"d.{c}"), v)
     return d.select(*_stamped(source), F.col("id").alias("municipio_code"), F.col("nombre").alias("municipio_name"), F.col("provincia").alias("province"), F.col("elaborado").alias("elaborated_at"), F.substring_index("d.fecha", "T", 1).alias("valid_date"), pick("estadoCielo", "descripcion").alias("sky_state"), pick("estadoCielo").alias("sky_state_code"), pick("probPrecipitacion").alias("precipitation_probability_pct"), F.col("d.temperatura.maxima").alias("temperature_max_c"), F.col("d.temperatura.minima").alias("temperature_min_c"), captured.alias("captured_at"))
+
+
+def of_venues(events: DataFrame, venues: DataFrame, venue: str = "venue_name") -> DataFrame:
+    """Events at one of the venues, by any of their names; venues: venue_id, display_name, names array. [F18]"""
+    v = venues.select("venue_id", "display_name", F.explode("names").alias("__alias")).groupBy("__alias").agg(F.min(F.struct("venue_id", "display_name")).alias("__v"))
+    e = events.join(v, F.lower(text.collapse(F.col(venue))) == F.lower(text.collapse(F.col("__alias"))))
+    return e.select(*events.columns, F.col("__v.venue_id").alias("venue_id"), F.col("__v.display_name").alias("venue"))
+
+
+def routes(route: DataFrame, trip: DataFrame, stop_time: DataFrame, stop: DataFrame, mode: str, ingested: Column, source: str = "crtm") -> DataFrame:
+    """Routes with the ordered stops of one representative trip each. [W6, J4, J5, A19, O3]
+
+    Only the chosen trips' stop times are joined; the stops of a route (bounded
+    by the trip) become an array sorted by sequence.
+    """
+    chosen = trip.groupBy("route_id").agg(F.min_by("trip_id", F.struct((F.coalesce(F.col("direction_id"), F.lit("")) != "0").alias("d"), F.col("trip_id"))).alias("trip_id"))
+    times_of = joins.keep_known(stop_time, chosen, ["trip_id"]).join(stop, "stop_id")
+    seq = F.coalesce(numbers.to_int(F.col("stop_sequence").cast("string")), F.lit(0))
+    at = F.struct(seq.alias("sequence"), F.col("stop_id"), F.col("stop_name").alias("name"), _where(numbers.to_float(F.col("stop_lat")), numbers.to_float(F.col("stop_lon"))).alias("location"))
+    per_trip = times_of.groupBy("trip_id").agg(F.sort_array(F.collect_list(at)).alias("stops"))
+    j = route.join(chosen, "route_id", "left").join(per_trip, "trip_id", "left")
+    return j.select(*_stamped(source), F.lit(mode).alias("mode"), "route_id", text.clean(F.col("route_short_name")).alias("short_name"), text.clean(F.col("route_long_name")).alias("long_name"), ingested.alias("ingested_at"), F.coalesce("stops", F.from_json(F.lit("[]"), per_trip.schema["stops"].dataType)).alias("stops"))
+
+
+def route_stops(r: DataFrame) -> DataFrame:
+    """One row per route and stop, with the line's name or, without one, its id. [C10, G5]"""
+    return r.select("route_id", F.coalesce("short_name", "route_id").alias("line"), F.explode("stops").alias("s")).select("route_id", "line", "s.*")

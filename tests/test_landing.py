@@ -87,3 +87,18 @@ def test_nested_feeds(spark):
     assert (d.valid_date, d.sky_state, d.sky_state_code, d.precipitation_probability_pct, d.temperature_max_c) == ("2026-08-15", "Nuboso", "12", "40", 30)
     pl = landing.places(spark.createDataFrame([("p", "n", "a", (40.4, -3.7), 33, [("lunes", [1])])], "id string, name string, address string, coordinates struct<lat:double,lng:double>, current_popularity int, populartimes array<struct<name:string,data:array<int>>>"), F.lit("q"), now()).first()
     assert pl.typical_by_hour.lunes == [1] and pl.location.lon == -3.7
+
+
+def test_routes_and_venues(spark):
+    route = spark.createDataFrame([("r", " 5 ", "L"), ("q", None, None)], "route_id string, route_short_name string, route_long_name string")
+    trip = spark.createDataFrame([("r", "t1", "1"), ("r", "t2", "0"), ("r", "t3", "0"), ("q", "t9", None)], "route_id string, trip_id string, direction_id string")
+    stop_time = spark.createDataFrame([("t2", "10", "b"), ("t2", "2", "a"), ("t2", None, "z"), ("t1", "1", "b"), ("t2", "11", "gone")], "trip_id string, stop_sequence string, stop_id string")
+    stop = spark.createDataFrame([("a", "A", "40.4", "-3.7"), ("b", "B", "x", None), ("z", "Z", "40.5", "-3.7")], "stop_id string, stop_name string, stop_lat string, stop_lon string")
+    r = landing.routes(route, trip, stop_time, stop, "metro", now())
+    got = {x.route_id: [s.stop_id for s in x.stops] for x in r.collect()}
+    assert got == {"r": ["z", "a", "b"], "q": []}
+    flat = landing.route_stops(r).collect()
+    assert {(x.line, x.stop_id) for x in flat} == {("5", "z"), ("5", "a"), ("5", "b")}
+    ev = spark.createDataFrame([(1, " teatro  real "), (2, "Otro"), (3, None)], "i int, venue_name string")
+    ve = spark.createDataFrame([("v", "Teatro Real", ["Teatro Real", "El Real"]), ("w", "W", ["Teatro Real"])], "venue_id string, display_name string, names array<string>")
+    assert [(x.i, x.venue_id) for x in landing.of_venues(ev, ve).collect()] == [(1, "v")]
