@@ -235,3 +235,19 @@ def test_windowed_stream_and_dedupe(spark, tmp_path):
     s.writeStream.format("memory").queryName("win").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
     s2 = hourly.file_stream(spark, path, df.schema)
     assert s2.isStreaming and spark.sql("select * from win").columns == ["user_id", "start", "n", "avg"]
+
+
+def test_contracts(spark):
+    from mobilake.operators import contracts
+
+    m = spark.createDataFrame([("s", "NO2", datetime(2025, 1, 1, 8), 10.0), ("s", "NO2", datetime(2025, 1, 1, 9), 30.0), ("t", "NO2", datetime(2025, 1, 1, 7), 50.0), ("s", "NO2", datetime(2025, 1, 1, 12), 99.0)], "station_id string, pollutant string, at timestamp_ntz, value double")
+    f = spark.createDataFrame([("NO2", "2025-01-01", 1.0), ("O3", "2025-01-01", 7.0), ("O3", "2025-01-02", 9.0)], "pollutant string, day string, value double").withColumn("day", F.to_date("day"))
+    out = contracts.air_or_forecast(m, f, F.lit("2025-01-01 10:00:00").cast("timestamp_ntz")).collect()
+    assert {(r.pollutant, r.value, r.basis) for r in out} == {("NO2", 40.0, "measured"), ("O3", 7.0, "forecast")}
+    g = spark.createDataFrame([("a", "2025-01-01", 9, 5.0, 10), ("a", "2025-01-01", 10, 3.0, 10), ("b", "2025-01-01", 9, 4.0, 20)], "parking_id string, date string, hour int, avg_free_spaces double, total_spaces int")
+    z = spark.createDataFrame([("a", "z"), ("a", "z"), ("b", "z"), ("c", "y")], "parking_id string, zone string")
+    r = contracts.free_parking(g, z).collect()
+    assert len(r) == 1 and (r[0].free_spaces, r[0].total_spaces, r[0].as_of.hour) == (7.0, 30, 10)
+    p = spark.createDataFrame([("1", 40.0, -3.0)], "id string, lat double, lon double")
+    s = spark.createDataFrame([("1", 40.0005, -3.0), ("2", 40.1, -3.0)], "id string, lat double, lon double")
+    assert [(x.place_id, x.stop_id) for x in contracts.stops_around(s, p, 100.0).collect()] == [("1", "1")]
