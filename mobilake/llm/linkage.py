@@ -2,7 +2,9 @@
 
 Records are normalised once each (show names, ensemble word, venue core) and
 grouped into classes of equal records, so copies are compared once. Candidates
-share the start date and a prefix or suffix of a show name. On each candidate
+share the start date and a prefix or suffix of a show name, or hold names that
+differ by no more slips than ``same_word`` allows, found by what is left of
+both names after as many deletions. On each candidate
 heuristic matching functions vote +1, -1 or 0 on title and venue; equal vote
 patterns are counted by partial aggregation, and a generative label model is
 fitted to the pattern counts (at most 3 to the number of functions, whatever
@@ -25,6 +27,7 @@ import re
 import unicodedata
 from collections.abc import Mapping
 from functools import lru_cache
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -108,6 +111,26 @@ def same_word(a: str, b: str, long: int = 6) -> bool:
     return most > 0 and distance(*sorted((a, b)), most) <= most
 
 
+# Words longer than DELETED are found by runs of RUN letters instead: two slips touch at most
+# four letters in two places, which leaves a run of RUN untouched in every word from DELETED - 3 on.
+DELETED, RUN = 26, 7
+
+
+@lru_cache(maxsize=50_000)
+def slips(word: str) -> tuple[int, ...]:
+    """Hashed keys of a word: any two words that ``same_word`` takes for one share a key."""
+    out: set[str] = set()
+    if len(word) >= DELETED - 3:
+        out |= {f"~{word[i : i + RUN]}" for i in range(len(word) - RUN + 1)}
+    if len(word) <= DELETED:
+        level = {word}
+        out |= level
+        for _ in range(2 if len(word) >= 6 else 1 if len(word) >= 4 else 0):
+            level = {w[:i] + w[i + 1 :] for w in level for i in range(len(w))}
+            out |= level
+    return tuple({crc32(k.encode()) for k in out})
+
+
 def _matched(a: tuple[str, ...], b: tuple[str, ...], long: int = 6) -> int:
     left, n = list(b), 0
     for x in a:
@@ -217,6 +240,16 @@ def _normal(title: pa.Array, venue: pa.Array) -> pa.Array:
     return pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(cols, (text, pa.string(), pa.string(), text, text))], names=["names", "initials", "ensemble", "venue", "keys"])
 
 
+@F.arrow_udf(T.ArrayType(T.LongType()))
+def _slips(word: pa.Array) -> pa.Array:
+    return pa.array([slips(w) for w in word.to_pylist()], pa.list_(pa.int64()))
+
+
+@F.arrow_udf(T.BooleanType())
+def _same_word(a: pa.Array, b: pa.Array) -> pa.Array:
+    return pa.array([same_word(x, y) for x, y in zip(a.to_pylist(), b.to_pylist())], pa.bool_())
+
+
 @F.arrow_udf(T.ArrayType(T.ByteType()))
 def _votes(a: pa.Array, b: pa.Array) -> pa.Array:
     out = []
@@ -244,6 +277,18 @@ def records(df: DataFrame, key: str, title: Column, venue: Column, date: Column,
     return d.select("key", "cls").distinct(), d.groupBy("cls").agg(F.first("date").alias("date"), F.first("r").alias("r"))
 
 
+def _misspelt(lc: DataFrame, rc: DataFrame) -> DataFrame:
+    """(lcls, lr, rcls, rr) of classes of one date that share no key but hold names that are one word by ``same_word``."""
+    names = lambda c, x: c.select(F.col("cls").alias(f"{x}cls"), "date", F.col("r").alias(f"{x}r"), F.explode("r.names").alias(f"{x}w"))
+    a, b = names(lc, "l"), names(rc, "r")
+    words = lambda d, w: d.select("date", w).distinct().select("date", w, F.explode(_slips(F.col(w))).alias("k"))
+    # names with the same first or last letters share a key already
+    apart = (F.substring("lw", 1, 4) != F.substring("rw", 1, 4)) & (F.substring("lw", -4, 4) != F.substring("rw", -4, 4))
+    near = words(a, "lw").join(words(b, "rw"), ["date", "k"]).where(apart).select("date", "lw", "rw").distinct().where(_same_word(F.col("lw"), F.col("rw")))
+    pairs = near.join(a, ["date", "lw"]).join(b, ["date", "rw"]).where(~F.arrays_overlap("lr.keys", "rr.keys"))
+    return pairs.select("lcls", "lr", "rcls", "rr").dropDuplicates(["lcls", "rcls"])
+
+
 def link(left: tuple[DataFrame, DataFrame], right: tuple[DataFrame, DataFrame], store=lambda df: df, least: float = 0.5) -> DataFrame:  # noqa: ANN001
     """(left_key, right_key, confidence) of all pairs with a confidence of at least ``least``.
 
@@ -254,8 +299,8 @@ def link(left: tuple[DataFrame, DataFrame], right: tuple[DataFrame, DataFrame],
     b = rc.select(F.col("cls").alias("rcls"), "date", F.col("r").alias("rr"), F.explode("r.keys").alias("k"))
     # a pair is kept only under the first key it shares, so that no distinct is needed
     first = F.get(F.array_intersect("lr.keys", "rr.keys"), F.lit(0)) == F.col("k")
-    cand = a.join(b, ["date", "k"]).where(first).select("lcls", "rcls", _votes(F.col("lr"), F.col("rr")).alias("v"))
-    cand = store(cand)
+    cand = a.join(b, ["date", "k"]).where(first).select("lcls", "lr", "rcls", "rr").unionByName(_misspelt(lc, rc))
+    cand = store(cand.select("lcls", "rcls", _votes(F.col("lr"), F.col("rr")).alias("v")))
     counts = {tuple(r["v"]): r["n"] for r in cand.groupBy("v").agg(F.count(F.lit(1)).alias("n")).collect()}
     posterior = fit(counts)
     table = [x for k, v in posterior.items() if v >= least for x in (F.lit(",".join(map(str, k))), F.lit(v))]

@@ -159,3 +159,39 @@ def test_linkage(spark):
     assert {(x.left_key, x.right_key) for x in out} == {(f"L{i}", f"R{i}") for i in range(0, 80, 2)}
     assert len(out) == 40 and all(0.5 <= x.confidence <= 1 for x in out)
     assert linkage.link(rec(l.limit(0)), rec(r)).count() == 0
+
+
+def _slipped(rnd, w, n):
+    for _ in range(n):
+        i, c = rnd.randrange(len(w) - 1), rnd.choice("abcdefghijklmnopqrstuvwxyz")
+        w = rnd.choice([w[:i] + w[i + 1 :], w[:i] + c + w[i:], w[:i] + c + w[i + 1 :], w[:i] + w[i + 1] + w[i] + w[i + 2 :]])
+    return w
+
+
+def test_words_that_are_the_same_share_a_key():
+    rnd = random.Random(12)
+    n = 0
+    for _ in range(4000):
+        a = "".join(rnd.choice("abcdefgilmnorstu") for _ in range(rnd.choice([3, 4, 5, 6, 7, 8, 11, 22, 23, 24, 25, 26, 27, 28, 29, 40])))
+        b = _slipped(rnd, a, rnd.randrange(3))
+        if linkage.same_word(a, b):
+            n += 1
+            assert set(linkage.slips(a)) & set(linkage.slips(b)), (a, b)
+    assert n > 2000 and len(linkage.slips("a1b2c3d4" * 1000)) <= 8000
+
+
+def test_linkage_of_misspelt_names_against_all_pairs(spark):
+    rnd = random.Random(13)
+    d = date(2025, 5, 1)
+    word = lambda k: "".join(rnd.choice("bcdfglmnprst") + rnd.choice("aeiou") for _ in range(k))
+    names = [("motrofue",), ("nube",), ("faroles",)] + [(word(rnd.choice([2, 3, 4, 5])),) for _ in range(40)] + [(word(4), word(4)) for _ in range(20)]
+    venues = [word(5) for _ in names]
+    other = [("motorfue",), ("nbue",), ("fraoels",)] + [tuple(_slipped(rnd, w, 2 if len(w) >= 6 else 1) for w in n) for n in names[3:]]
+    schema = "event_id string, title string, venue string, day date"
+    side = lambda x, who: spark.createDataFrame([(f"{x}{i}", " ".join(n), f"Teatro {v}", d) for i, (n, v) in enumerate(zip(who, venues))], schema)
+    rec = lambda x: linkage.records(x, "event_id", F.col("title"), F.col("venue"), F.col("day"))
+    got = {(r.left_key, r.right_key) for r in linkage.link(rec(side("L", names)), rec(side("R", other))).collect()}
+    shows = [[linkage.show(" ".join(n))[0] for n in who] for who in (names, other)]
+    want = {(f"L{i}", f"R{i}") for i, (a, b) in enumerate(zip(*shows)) if linkage.votes(a, "", "", (venues[i],), b, "", "", (venues[i],))[0] == 1}
+    assert {("L0", "R0"), ("L1", "R1"), ("L2", "R2")} <= want and len(want) > 40
+    assert got == want
