@@ -13,8 +13,9 @@ function is right on matches and on others and how far functions repeat one
 another, and repeated evidence is weighted down. A pair's confidence is the
 posterior of its pattern.
 
-Defined cases: records without readable date or without any show name match
-nothing; a missing venue abstains, so show and date decide, while
+Defined cases: records without readable date or without any word in the title match
+nothing; a title of words for kinds and circumstances alone ("Visita guiada") has
+all its words, particles aside, for names and matches only as a whole; a missing venue abstains, so show and date decide, while
 two venues, or two shows, that contradict each other are never the same event; repeated captures
 of an event give one pair; null titles match nothing; empty tables give no
 rows; extra columns are ignored.
@@ -46,6 +47,8 @@ GENRES = frozenset(
     cine infantil estreno sesion visita guiada toda todos para con sin por del de la el los las en un una y a al su
     """.split()
 )
+# Words that tell no title from another.
+PARTICLES = frozenset("con sin por para del de la el los las en un una y a al su".split())
 # Words for the company or form that goes before a show's own names.
 ENSEMBLES = frozenset("orquesta cuarteto grupo compania club los las danzas noches cuentos memorias atlas viaje misterio".split())
 # Kinds of venue, their short forms, and rooms.
@@ -67,12 +70,40 @@ def plain(text: str | None) -> str:
 
 
 def show(title: str | None) -> tuple[tuple[str, ...], str, str]:
-    """(own names sorted, initials, ensemble word) of a title."""
+    """(own names sorted, initials, ensemble word) of a title; without own names all its words stand for them."""
     words = re.findall(r"[a-z0-9]+", plain(title))
     ensemble = next((w for w in words if w in ENSEMBLES), "")
     names = sorted({w for w in words if len(w) >= 3 and w not in GENRES and w not in ENSEMBLES})
     initials = "".join(sorted({w for w in words if len(w) == 1 and w not in "aye" and f"{w}." in plain(title)}))
-    return tuple(names), initials, ensemble
+    return tuple(names) or content(title), initials, ensemble
+
+
+def content(title: str | None) -> tuple[str, ...]:
+    """All words of a title but particles, sorted; the particles if there is nothing else."""
+    words = set(re.findall(r"[a-z0-9]+", plain(title))) or set(re.findall(r"[^\W_]+", (title or "").lower()))
+    return tuple(sorted(words - PARTICLES or words))
+
+
+@lru_cache(maxsize=50_000)
+def _kind(word: str, slipped: bool) -> bool:
+    """Whether a word names no show by itself; ``slipped``: or is such a word but for slips."""
+    if len(word) < 3 or word in GENRES or word in ENSEMBLES:
+        return True
+    return slipped and any(same_word(word, w) for k in slips(word) for w in _kinds_by_slip().get(k, ()))
+
+
+@lru_cache(maxsize=1)
+def _kinds_by_slip() -> dict[int, list[str]]:
+    out: dict[int, list[str]] = {}
+    for w in GENRES | ENSEMBLES:
+        for k in slips(w):
+            out.setdefault(k, []).append(w)
+    return out
+
+
+def generic(names: tuple[str, ...], slipped: bool = False) -> bool:
+    """Whether a title has no own name, so that these are all its words."""
+    return all(_kind(w, slipped) for w in names)
 
 
 def venue_core(name: str | None) -> tuple[str, ...]:
@@ -152,8 +183,8 @@ def _gram_vote(a: tuple[str, ...], b: tuple[str, ...], high: float, low: float)
     return 1 if j >= high else -1 if j <= low else 0
 
 
-def votes(l_names, l_init, l_ens, l_venue, r_names, r_init, r_ens, r_venue) -> tuple[int, ...]:  # noqa: ANN001
-    """Votes of FUNCTIONS on one candidate."""
+def votes(l_names, l_init, l_ens, l_venue, r_names, r_init, r_ens, r_venue, l_words=(), r_words=()) -> tuple[int, ...]:  # noqa: ANN001
+    """Votes of FUNCTIONS on one candidate; words: all words of a title that may have no own name."""
     hit = _matched(l_names, r_names)
     fewer = min(len(l_names), len(r_names))
     initial = 0
@@ -167,6 +198,11 @@ def votes(l_names, l_init, l_ens, l_venue, r_names, r_init, r_ens, r_venue) -> t
         names = 1
     else:
         names = -1
+    grams = _gram_vote(l_names, r_names, 0.6, 0.35)
+    if generic(l_names) or generic(r_names):
+        a, b = l_words or l_names, r_words or r_names
+        names = grams = 1 if len(a) == len(b) == _matched(a, b) else -1
+        initial = 0
     exact = 1 if l_names == r_names else 0
     ensemble = 0 if not l_ens or not r_ens else 1 if l_ens == r_ens else -1
     venue = v_exact = v_grams = 0
@@ -175,7 +211,7 @@ def votes(l_names, l_init, l_ens, l_venue, r_names, r_init, r_ens, r_venue) -> t
         venue = 1 if n == min(len(l_venue), len(r_venue)) else -1
         v_exact = 1 if l_venue == r_venue else 0
         v_grams = _gram_vote(l_venue, r_venue, 0.6, 0.3)
-    return names, exact, _gram_vote(l_names, r_names, 0.6, 0.35), initial, ensemble, venue, v_exact, v_grams
+    return names, exact, grams, initial, ensemble, venue, v_exact, v_grams
 
 
 def fit(patterns: Mapping[tuple[int, ...], int], rounds: int = 60, prior: float = 0.8) -> dict[tuple[int, ...], float]:
@@ -222,7 +258,7 @@ def _overlap(p: np.ndarray, n: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.clip(out, 0, None)
 
 
-_RECORD = T.StructType().add("names", T.ArrayType(T.StringType())).add("initials", T.StringType()).add("ensemble", T.StringType()).add("venue", T.ArrayType(T.StringType())).add("keys", T.ArrayType(T.StringType()))
+_RECORD = T.StructType().add("names", T.ArrayType(T.StringType())).add("initials", T.StringType()).add("ensemble", T.StringType()).add("venue", T.ArrayType(T.StringType())).add("keys", T.ArrayType(T.StringType())).add("words", T.ArrayType(T.StringType()))
 
 
 def _keys(names: tuple[str, ...]) -> list[str]:
@@ -234,10 +270,12 @@ def _normal(title: pa.Array, venue: pa.Array) -> pa.Array:
     rows = []
     for t, v in zip(title.to_pylist(), venue.to_pylist()):
         names, init, ens = show(t)
-        rows.append((list(names), init, ens, list(venue_core(v)), _keys(names)))
-    cols = list(zip(*rows)) if rows else [(), (), (), (), ()]
+        # a kind of show that is misspelt looks like a name, so those titles keep all their words too
+        words = content(t) if generic(names, slipped=True) else ()
+        rows.append((list(names), init, ens, list(venue_core(v)), _keys((*names, *words)), list(words)))
+    cols = list(zip(*rows)) if rows else [(), (), (), (), (), ()]
     text = pa.list_(pa.string())
-    return pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(cols, (text, pa.string(), pa.string(), text, text))], names=["names", "initials", "ensemble", "venue", "keys"])
+    return pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(cols, (text, pa.string(), pa.string(), text, text, text))], names=["names", "initials", "ensemble", "venue", "keys", "words"])
 
 
 @F.arrow_udf(T.ArrayType(T.LongType()))
@@ -254,7 +292,7 @@ def _same_word(a: pa.Array, b: pa.Array) -> pa.Array:
 def _votes(a: pa.Array, b: pa.Array) -> pa.Array:
     out = []
     for x, y in zip(a.to_pylist(), b.to_pylist()):
-        out.append(votes(*(v if isinstance(v, str) else tuple(v) for r in (x, y) for v in (r["names"], r["initials"], r["ensemble"], r["venue"]))))
+        out.append(votes(*(v if isinstance(v, str) else tuple(v) for r in (x, y) for v in (r["names"], r["initials"], r["ensemble"], r["venue"])), tuple(x["words"]), tuple(y["words"])))
     return pa.array(out, pa.list_(pa.int8()))
 
 
@@ -272,7 +310,7 @@ def records(df: DataFrame, key: str, title: Column, venue: Column, date: Column,
     ``store`` keeps the normalised records, which both results read.
     """
     d = df.select(F.col(key).alias("key"), date.alias("date"), _normal(title, venue).alias("r")).where(F.col("key").isNotNull() & F.col("date").isNotNull() & (F.size("r.names") > 0))
-    d = d.withColumn("cls", F.xxhash64("date", F.array_join("r.names", " "), F.lit("|"), "r.initials", F.lit("|"), "r.ensemble", F.lit("|"), F.array_join("r.venue", " ")))
+    d = d.withColumn("cls", F.xxhash64("date", F.array_join("r.names", " "), F.lit("|"), "r.initials", F.lit("|"), "r.ensemble", F.lit("|"), F.array_join("r.venue", " "), F.lit("|"), F.array_join("r.words", " ")))
     d = store(d)
     return d.select("key", "cls").distinct(), d.groupBy("cls").agg(F.first("date").alias("date"), F.first("r").alias("r"))
 

@@ -195,3 +195,14 @@ def test_linkage_of_misspelt_names_against_all_pairs(spark):
     want = {(f"L{i}", f"R{i}") for i, (a, b) in enumerate(zip(*shows)) if linkage.votes(a, "", "", (venues[i],), b, "", "", (venues[i],))[0] == 1}
     assert {("L0", "R0"), ("L1", "R1"), ("L2", "R2")} <= want and len(want) > 40
     assert got == want
+
+
+def test_linkage_of_titles_without_a_name_of_their_own(spark):
+    d = date(2025, 5, 1)
+    titles = ["Noches de danza", "Visita guiada", "Taller infantil de danza", "Cine de verano", "Club de cuentos", "U2", "Y la de", "東京"]
+    other = ["NOCHES DE DANZZA", "Visita guiada", "Taller infantil de teatro", "Cine de verrano", "Cuentos (club)", "u2", "Y la de", "東京"]
+    schema = "event_id string, title string, venue string, day date"
+    side = lambda x, who: spark.createDataFrame([(f"{x}{i}", t, "Teatro Zatrebono", d) for i, t in enumerate(who)] + [(f"{x}N", " - ", "Teatro Zatrebono", d), (f"{x}O", "Noches de danza", {"L": "Teatro Brajivel", "R": "Teatro Tomillar"}[x], d)], schema)
+    rec = lambda x: linkage.records(x, "event_id", F.col("title"), F.col("venue"), F.col("day"))
+    got = {(r.left_key, r.right_key) for r in linkage.link(rec(side("L", titles)), rec(side("R", other))).collect()}
+    assert got == {(f"L{i}", f"R{i}") for i in range(8) if i != 2}
