@@ -206,3 +206,25 @@ def test_linkage_of_titles_without_a_name_of_their_own(spark):
     rec = lambda x: linkage.records(x, "event_id", F.col("title"), F.col("venue"), F.col("day"))
     got = {(r.left_key, r.right_key) for r in linkage.link(rec(side("L", titles)), rec(side("R", other))).collect()}
     assert got == {(f"L{i}", f"R{i}") for i in range(8) if i != 2}
+
+
+def test_stuffing_of_phrases_with_glue():
+    rnd = random.Random(14)
+    lines = ["zapatos para mujer", "zapatos para hombre", "hoteles con piscina en Madrid", "Pisos con terraza y garaje", "shoes for women"]
+    spam = {
+        "lines": "\n".join(lines * 100),
+        "mixed": "\n".join(rnd.choice([*lines, "zapatos baratos", "hoteles en el centro de Madrid 2025"]) for _ in range(60)),
+        "blank lines": "\n\n".join(lines * 6),
+    }
+    for k, t in spam.items():
+        assert stuffing.share(t) > 0.5, k
+        assert stuffing.share(t + "\n" + PROSE * (2 + 2 * len(t) // len(PROSE))) < 0.5, k
+    wrapped = "El ciclo cierra con una película muda\nacompañada al piano, aunque todavía falta\nconfirmarlo con la sala.\n"
+    fine = {
+        "wrapped prose": wrapped * 30,
+        "repeated heading": (PROSE + "\nConsejos para familias\n" + PROSE + "\n") * 20,
+        "programme": "\n".join(f"{h}:30 Taller para familias con {w}" for h in range(9, 21) for w in ("barro", "papel")),
+        "list": "\n".join(["Biblioteca para mayores", "Museo con cafetería", "Parque y jardín", "Salida por detrás", "Rampa para carritos", "Aseos con cambiador"]),
+    }
+    for k, t in fine.items():
+        assert stuffing.share(t) <= 0.5, k
