@@ -182,7 +182,9 @@ def _value(v: Column, path: str, kind: str) -> Column:
     if kind == "json":
         return F.to_json(F.try_variant_get(v, path, "variant"))
     if kind == "whole":
-        return F.coalesce(F.try_variant_get(v, path, "bigint"), text.try_cast("double").cast("bigint"))
+        # through the text, as other casts cut fractions off; 2.0 and 1e3 are whole
+        d, x = text.try_cast("decimal(38,18)"), text.try_cast("double")
+        return F.coalesce(text.try_cast("bigint"), F.when((d == F.floor(d)) & (x == F.rint(x)), d.try_cast("bigint")))
     if kind == "number":
         return F.coalesce(F.try_variant_get(v, path, "double"), F.replace(text, F.lit(","), F.lit(".")).try_cast("double"))
     if kind == "flag":
@@ -198,8 +200,9 @@ def _value(v: Column, path: str, kind: str) -> Column:
 def ingest(df: DataFrame, record: str = "record", names: Mapping[str, Sequence[str]] = NAMES, kinds: Mapping[str, str] = KINDS, rescue: str = "_rescued") -> DataFrame:
     """df without ``record``, plus one typed column per target field (dots become underscores) and the rescue column.
 
-    The rescue column is a JSON object of every field that is unknown or whose
-    value could not be cast, or the whole text of an unreadable record under
+    The rescue column is a JSON object of every field that is unknown, whose
+    value could not be cast (a fraction is no whole number) or differs from the
+    one taken from another approved name, or the whole text of an unreadable record under
     the key ``_record``; null when nothing was left over. Columns of df that
     bear the name of a target column are kept as ``in_`` and their name.
     """
@@ -208,16 +211,18 @@ def ingest(df: DataFrame, record: str = "record", names: Mapping[str, Sequence[s
     keep = [c for c in df.columns if c != record]
     d = df.withColumn("__v", F.try_parse_json(F.col(record)))
     whole = F.coalesce(F.schema_of_variant("__v").startswith("OBJECT"), F.lit(False))
-    cols = {}
-    for f, alias in names.items():
-        cols[f.replace(".", "_")] = F.coalesce(*[_value(F.col("__v"), f"$.{a}", kinds.get(f, "text")) for a in alias])
+    values = {(f, a): _value(F.col("__v"), f"$.{a}", kinds.get(f, "text")) for f, alias in names.items() for a in alias}
+    at = {k: f"__a{i}" for i, k in enumerate(values)}
+    d = d.withColumns({at[k]: v for k, v in values.items()})
+    cols = {f.replace(".", "_"): F.coalesce(*[F.col(at[f, a]) for a in alias]) for f, alias in names.items()}
     d = d.withColumns(cols)
     left = []
     for f, alias in names.items():
         got = F.col(f.replace(".", "_"))
         for a in alias:
             raw = F.to_json(F.try_variant_get("__v", f"$.{a}", "variant"))
-            left.append(F.when(got.isNull() & raw.isNotNull() & (raw != "null"), F.concat(F.lit(f'"{a}":'), raw)))
+            lost = ~F.coalesce(F.col(at[f, a]) == got, F.lit(False))
+            left.append(F.when(lost & raw.isNotNull() & (raw != "null"), F.concat(F.lit(f'"{a}":'), raw)))
     known = {a for ns in names.values() for a in ns}
     nested = sorted({a.partition(".")[0] for a in known if "." in a})
 

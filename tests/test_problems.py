@@ -195,6 +195,23 @@ def test_drift_ingest_and_replay(spark):
     assert again[0].extra is not None and again[1].extra is None
 
 
+def test_drift_ingest_loses_no_value(spark):
+    recs = [
+        '{"place_id": "A", "id": "B", "version": 2, "schema_version": 1}',
+        '{"schema_version": "two", "version": "2", "pid": "A", "id": "A"}',
+        '{"schema_version": "2.7", "rating_n": 1.1}',
+        '{"schema_version": 2.0, "rating_n": "1e3"}',
+        '{"schema_version": 1e30, "rating_n": "9007199254740993"}',
+    ]
+    r = {x.n: x for x in drift.ingest(spark.createDataFrame(list(enumerate(recs)), "n int, record string")).collect()}
+    left = {n: json.loads(x["_rescued"]) if x["_rescued"] else None for n, x in r.items()}
+    assert (r[0].place_id, r[0].schema_version) == ("A", 1) and left[0] == {"id": "B", "version": 2}
+    assert (r[1].place_id, r[1].schema_version) == ("A", 2) and left[1] == {"schema_version": "two"}
+    assert (r[2].schema_version, r[2].rating_n) == (None, None) and left[2] == {"schema_version": "2.7", "rating_n": 1.1}
+    assert (r[3].schema_version, r[3].rating_n) == (2, 1000) and left[3] is None
+    assert (r[4].schema_version, r[4].rating_n) == (None, 9007199254740993) and left[4] == {"schema_version": 1e30}
+
+
 ROWS = "row_id bigint, file_id bigint, ingested_at string, measured_at string, v bigint, location struct<lat:double,lon:double>"
 
 
