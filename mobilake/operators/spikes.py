@@ -17,7 +17,8 @@ Edge cases: null values are never cases; NaN and infinite values are
 ``impossible``; rows whose time is unknown are placed at their fallback time
 for the chart's range only (they are spikes if they lie beyond the limit of
 every slot of that time) and count in no run; a series shorter than five
-readings has no chart, only limits; ties in time are walked in value order;
+readings has no chart, only limits; of several values at one time each can
+carry on a stretch of stuck values, and impossible ones do not end it;
 null series keys form a series of their own; empty tables give no rows.
 """
 
@@ -132,13 +133,17 @@ def chart_group(pdf: pd.DataFrame, c: Chart) -> pd.DataFrame:
             spike |= loose & tot & ((x > near_hi + limit) | (x < near_lo - limit))
     stuck = np.zeros(len(pdf), bool)
     if c.run:
-        # the walk is by distinct time; the first of several values at one time leads
-        p = np.flatnonzero(placed & np.isfinite(v))
+        # the walk is by distinct time: of several values at one time each carries on its own run,
+        # and an impossible value is no reading, so it ends none
+        p = np.flatnonzero(placed & ~bad)
         if len(p):
-            new = np.r_[True, (code[p][1:] != code[p][:-1]) | (v[p][1:] != v[p][:-1])]
-            run = np.cumsum(new) - 1
             t = pdf["t"].to_numpy()[p]
-            fresh = np.r_[True, (t[1:] != t[:-1]) | new[1:]]
+            at = np.cumsum(np.r_[True, (code[p][1:] != code[p][:-1]) | (t[1:] != t[:-1])])
+            o = np.lexsort((at, v[p], code[p]))
+            p, at = p[o], at[o]
+            new = np.r_[True, (code[p][1:] != code[p][:-1]) | (v[p][1:] != v[p][:-1]) | (np.diff(at) > 1)]
+            run = np.cumsum(new) - 1
+            fresh = np.r_[True, (at[1:] != at[:-1]) | new[1:]]
             length = np.bincount(run, weights=fresh)
             stuck[p] = (length[run] >= c.run) & (v[p] != 0)
     why = np.where(bad, "impossible", np.where(stuck, "stuck", "spike"))

@@ -155,6 +155,23 @@ def test_spikes(spark):
     assert spikes.flag(df.limit(0), "row_id", F.col("s"), F.col("v"), F.col("d"), F.lit(0), F.col("d"), F.lit(0), chart).count() == 0
 
 
+def test_stuck_stretch_with_corrected_hours(spark):
+    rnd = random.Random(15)
+    usual = lambda lo, hi: [(k, 60 + rnd.gauss(0, 1.5)) for k in range(lo, hi)]
+    stuck = [(40 + k, 61.7) for k in range(12)]
+    # two values in one hour, before or after the stuck one in order, and an impossible one at its own time or beside it
+    for extra in ([(45, 59.0)], [(45, 63.0)], [(45, -99.0)], [(45, 63.0), (46, 59.0), (46, 61.7)]):
+        rows = [(i, k, v) for i, (k, v) in enumerate(usual(0, 40) + usual(52, 90) + extra + stuck)]
+        pdf = spark.createDataFrame(rows, "row_id bigint, d int, v double")
+        chart = spikes.Chart(low=15, high=140, floor_up=13, floor_down=13, width=5, run=10, chunk=64, halo=20)
+        got = {r.row_id for r in spikes.flag(pdf, "row_id", F.lit("a"), F.col("v"), F.col("d"), F.lit(0), F.col("d"), F.lit(0), chart).collect()}
+        assert got == {i for i, k, v in rows if v in (61.7, -99.0)}
+    rows = [(i, k, v) for i, (k, v) in enumerate(usual(0, 40) + usual(52, 90) + [(k, -99.0 if k == 45 else v) for k, v in stuck])]
+    pdf = spark.createDataFrame(rows, "row_id bigint, d int, v double")
+    got = {r.row_id for r in spikes.flag(pdf, "row_id", F.lit("a"), F.col("v"), F.col("d"), F.lit(0), F.col("d"), F.lit(0), chart).collect()}
+    assert got == {i for i, k, v in rows if v in (61.7, -99.0)}
+
+
 RAW = "file_id bigint, feed string, landed_at timestamp_ntz, line_no bigint, record string"
 
 
