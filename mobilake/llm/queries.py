@@ -36,7 +36,7 @@ def p10_shares(spark: SparkSession, d: str) -> DataFrame:
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents more than half of whose text is stuffing."""
-    return p10_shares(spark, d).where("share > 0.5").select("doc_id")
+    return _documents(spark, d).where(stuffing.is_stuffed(F.col("text"))).select("doc_id")
 
 
 def p6_matches(spark: SparkSession, d: str) -> DataFrame:

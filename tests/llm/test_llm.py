@@ -228,3 +228,19 @@ def test_stuffing_of_phrases_with_glue():
     }
     for k, t in fine.items():
         assert stuffing.share(t) <= 0.5, k
+
+
+def test_stuffing_share_is_whole_on_either_side_of_a_half():
+    bare = "\n".join(["taxi barato", "taxi urgente", "hotel barato"] * 12)
+    links = "\n".join(f"[pisos {i}](http://a{i}.example/x)" for i in range(12))
+    size = lambda t: len("".join(t.split()))
+    prose = PROSE * (size(bare) // size(PROSE) + 1)
+    low = bare + "\n" + prose
+    assert stuffing.share(low) == pytest.approx(size(bare) / size(low)) and 0.2 < stuffing.share(low) < 0.5
+    high = bare + "\n" + links + "\n" + PROSE
+    assert stuffing.share(high) == pytest.approx(1 - size(PROSE) / size(high))
+    rnd = random.Random(16)
+    pieces = [bare, links, prose, PROSE, "#uno #dos", "zapatos para mujer\nzapatos para hombre\nzapatos con tacón"]
+    for _ in range(60):
+        t = "\n".join(rnd.choices(pieces, k=rnd.randrange(1, 6)))
+        assert (stuffing.share(t) > 0.5) == (stuffing.share(t, full=False) > 0.5)
