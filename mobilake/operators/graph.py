@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -65,20 +66,25 @@ def broken_keys(df: DataFrame, *keys: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
 
 
-def hops(edges: DataFrame, starts: DataFrame, limit: int = 8) -> DataFrame:
+def hops(edges: DataFrame, starts: DataFrame, limit: int | None = None) -> DataFrame:
     """(start, id, hops): fewest steps from each start over directed edges, breadth first.
 
     One join per step, only the frontier moves; each step is cut to a table in
     the shared folder, so lineage does not grow and lost executors are no loss.
-    Ends when a step reaches nothing new.
+    Ends when a step reaches nothing new; if that is not so after ``limit``
+    steps, it raises instead of leaving nodes out.
     """
     e = edges.select("src", "dst").distinct()
     seen = cut(starts.select(F.col("id").alias("start"), F.col("id"), F.lit(0).alias("hops")).distinct(), "hops")
     front = seen
-    for k in range(1, limit + 1):
+    for k in count(1):
         step = front.join(e, front["id"] == e["src"]).select("start", F.col("dst").alias("id")).distinct()
         step = cut(step.join(seen.select("start", "id"), ["start", "id"], "left_anti").withColumn("hops", F.lit(k)), "hops")
         if step.isEmpty():
             break
+        if limit is not None and k > limit:
+            raise ValueError(f"more than {limit} steps are needed to reach every node")
         seen, front = seen.unionByName(step), step
+        if k % 16 == 0:
+            seen = cut(seen, "hops")
     return seen

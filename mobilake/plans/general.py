@@ -484,4 +484,4 @@ def path_hops(spark: SparkSession, d: str) -> DataFrame:
     """Breadth-first steps from the first supplier over consecutive suppliers of an order. [Q3]"""
     s = _t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey").distinct()
     e = graph.connected(s, "l_orderkey", F.col("l_linenumber"), "l_suppkey", F.lit("x"))
-    return graph.hops(e, e.agg(F.min("src").alias("id")), 4)
+    return graph.hops(e, e.agg(F.min("src").alias("id")))

@@ -251,3 +251,12 @@ def test_contracts(spark):
     p = spark.createDataFrame([("1", 40.0, -3.0)], "id string, lat double, lon double")
     s = spark.createDataFrame([("1", 40.0005, -3.0), ("2", 40.1, -3.0)], "id string, lat double, lon double")
     assert [(x.place_id, x.stop_id) for x in contracts.stops_around(s, p, 100.0).collect()] == [("1", "1")]
+
+
+def test_hops_run_until_nothing_new(spark):
+    e = spark.createDataFrame([(f"n{i:02d}", f"n{i + 1:02d}") for i in range(18)], "src string, dst string")
+    start = spark.createDataFrame([("n00",)], "id string")
+    assert {(r.id, r.hops) for r in graph.hops(e, start).collect()} == {(f"n{i:02d}", i) for i in range(19)}
+    assert graph.hops(e, start, 18).count() == 19
+    with pytest.raises(ValueError, match="17 steps"):
+        graph.hops(e, start, 17)
