@@ -4,9 +4,10 @@ Texts are parsed by an Arrow UDF over distinct values. For texts without a zone
 operator estimates, per source and week, which zone's offset history they were
 written in: the local time is aligned with the ingestion instant, and the
 history that minimises violations (readings later than their ingestion, or
-older than the lag seen in texts that carry an offset) is chosen, with a price
+older than a fixed lag of 45 days) is chosen, with a price
 on every change of zone. A declared zone is kept unless another one removes
-violations on a clear share of the rows. Then the wall clock is converted and
+violations on a clear share of the rows; so zones east of the declared one can
+be found, those west of it only make lags longer and stay as declared. Then the wall clock is converted and
 skipped or repeated times are named instead of guessed.
 
 Edge cases: null or blank text has status ``missing``; unreadable text or a
@@ -31,7 +32,7 @@ CANDIDATES = ("Europe/Madrid", "UTC", "Atlantic/Canary", "Europe/Helsinki")
 
 
 def _viterbi(pdf: pd.DataFrame, zones: list[str], declared: str, switch_cost: float, evidence: float) -> pd.DataFrame:
-    """Zone per week of one source: least violations plus a price per change.
+    """Stretches of weeks and their zone for one source: least violations plus a price per change.
 
     pdf holds one row per week with n and a violation count per candidate; it
     is bounded by the number of weeks, whatever the number of rows.
@@ -51,7 +52,9 @@ def _viterbi(pdf: pd.DataFrame, zones: list[str], declared: str, switch_cost: fl
     for b in reversed(back):
         path.append(int(b[path[-1]]))
     path.reverse()
-    return pd.DataFrame({"src": pdf["src"], "wk": pdf["wk"].to_numpy(), "zone": [zones[i] for i in path]})
+    d = pd.DataFrame({"src": pdf["src"].to_numpy(), "wk": pdf["wk"].to_numpy(), "zone": [zones[i] for i in path]})
+    stretch = (d["zone"] != d["zone"].shift()).cumsum().rename("stretch")
+    return d.groupby(stretch).agg(src=("src", lambda x: x.iloc[0]), zone=("zone", "first"), from_week=("wk", "min"), to_week=("wk", "max"))
 
 
 def estimate_zones(parsed: DataFrame, source: Column, ingested_us: Column, declared: str, candidates: Iterable[str] = CANDIDATES, max_lag_hours: int = 24 * 45, switch_cost: float = 1.0, evidence: float = 0.5) -> DataFrame:
@@ -79,8 +82,7 @@ def estimate_zones(parsed: DataFrame, source: Column, ingested_us: Column, decla
         lag = F.col("lag") * 900 + east
         aggs.append(F.sum(F.when(lag.between(-900, max_lag_hours * 3600), F.lit(0)).otherwise(F.col("n"))).alias(f"v{i}"))
     weekly = counts.groupBy("src", "wk").agg(*aggs)
-    path = weekly.groupBy("src").applyInPandas(lambda pdf: _viterbi(pdf, zones, declared, switch_cost, evidence), "src string, wk int, zone string")
-    return path.groupBy("src", "zone").agg(F.min("wk").alias("from_week"), F.max("wk").alias("to_week"))
+    return weekly.groupBy("src").applyInPandas(lambda pdf: _viterbi(pdf, zones, declared, switch_cost, evidence), "src string, zone string, from_week int, to_week int")
 
 
 def normalise(df: DataFrame, text: str, declared: str = "Europe/Madrid", source: str | None = None, ingested: str | None = None, instant: str = "instant_utc", status: str = "instant_status", zone_used: str | None = None, max_segments: int = 2000, **estimate) -> DataFrame:
@@ -88,7 +90,7 @@ def normalise(df: DataFrame, text: str, declared: str = "Europe/Madrid", source:
 
     With ``ingested`` (an ISO text column) zone-less texts are aligned with the
     ingestion; without it the declared zone holds. The estimated history has
-    one row per source and zone; up to ``max_segments`` rows it becomes a
+    one row per source and stretch of weeks; up to ``max_segments`` rows it becomes a
     literal in the plan, beyond that it is joined on the source.
     """
     zone = F.lit(declared)

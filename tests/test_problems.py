@@ -102,6 +102,19 @@ def test_zone_is_estimated_from_ingestion(spark):
     assert z["madrid-feed"] == ["Europe/Madrid"] and z["east-feed"] == ["Europe/Helsinki"] and z["utc-feed"] == ["Europe/Madrid"]
 
 
+def test_zone_history_keeps_the_stretch_between(spark):
+    base, rows = datetime(2025, 5, 8), []  # weeks count from a Thursday
+    for week in range(20):
+        east = 2 if 6 <= week < 14 else 3
+        for k in range(20):
+            utc = base + timedelta(weeks=week, hours=4 + k * 6)
+            rows.append((None, week, (utc + timedelta(hours=east)).strftime("%Y-%m-%dT%H:%M:%S"), (utc + timedelta(minutes=7)).strftime("%Y-%m-%dT%H:%M:%S+00:00"), utc))
+    df = spark.createDataFrame(rows, "source string, week int, t string, seen string, utc timestamp_ntz")
+    for most in (2000, 0):
+        out = instants.normalise(df, "t", source="source", ingested="seen", max_segments=most).collect()
+        assert len(out) == 400 and all(r.instant_utc == r.utc for r in out)
+
+
 def _hav(a, b):
     x = math.sin(math.radians(b[0] - a[0]) / 2) ** 2 + math.cos(math.radians(a[0])) * math.cos(math.radians(b[0])) * math.sin(math.radians(b[1] - a[1]) / 2) ** 2
     return 2 * 6_371_000 * math.asin(math.sqrt(x))
