@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from mobilake.functions import instants as I
 from mobilake.operators import compaction, drift, instants, rolling, spatial, spikes
 
-LEVEL = spikes.Chart(low=15, high=140, floor_up=14, floor_down=14, width=5, alpha=0.15, run=6)
-COUNT = spikes.Chart(low=0, high=60_000, floor_up=1.7, floor_down=2.6, slots=24, log=True, run=10, chunk=64, halo=8)
-WARMTH = spikes.Chart(low=-35, high=52, floor_up=13.5, floor_down=13.5, width=4, alpha=0.3)
+# Physical limits, what a sensor of the kind can resolve, and the width in scales of each series.
+LEVEL = spikes.Chart(low=15, high=140, finest=0.5, width=6.9, run=6)
+COUNT = spikes.Chart(low=0, high=60_000, finest=0.05, width=4.9, width_down=6.5, slots=24, log=True, run=10)
+WARMTH = spikes.Chart(low=-35, high=52, finest=0.5, width=3.6, alpha=0.3)
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -71,18 +72,17 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 def spike_rows(spark: SparkSession, d: str) -> DataFrame:
     """(table_name, row_id, reason) over the three tables of problem 5."""
-    day = lambda us: F.floor(us / 86_400_000_000).cast("int")
     r = _t(spark, d, "ruido")
     date = F.unix_date(rolling.valid_day(F.col("measured_date")))
-    a = spikes.flag(r, "row_id", F.concat_ws("\u0001", F.coalesce("station_id", F.lit("\u0000")), F.coalesce("period", F.lit("\u0000"))), F.col("laeq_db"), date, F.lit(0), date, day(I.iso_us(F.col("ingested_at"))), LEVEL)
+    a = spikes.flag(r, "row_id", F.concat_ws("\u0001", F.coalesce("station_id", F.lit("\u0000")), F.coalesce("period", F.lit("\u0000"))), F.col("laeq_db"), date, F.lit(0), date, LEVEL)
     p = _t(spark, d, "aforos_peatones_bicicletas").where((F.col("mode") == "peatones") & F.col("pedestrian_count").isNotNull())
-    p = instants.normalise(p.select("row_id", "station_id", "device_id", "pedestrian_count", "measured_at", "ingested_at"), "measured_at", instant="utc", status="st")
+    p = instants.normalise(p.select("row_id", "station_id", "device_id", "pedestrian_count", "measured_at"), "measured_at", instant="utc", status="st")
     p = p.withColumn("local", F.convert_timezone(F.lit("UTC"), F.lit("Europe/Madrid"), F.col("utc")))
     key = F.concat_ws("\u0001", F.coalesce("station_id", F.lit("\u0000")), F.coalesce("device_id", F.lit("\u0000")))
-    b = spikes.flag(p, "row_id", key, F.col("pedestrian_count"), F.unix_date(F.col("local").cast("date")), F.hour("local"), I.wall_seconds(F.col("utc")), day(I.iso_us(F.col("ingested_at"))), COUNT)
+    b = spikes.flag(p, "row_id", key, F.col("pedestrian_count"), F.unix_date(F.col("local").cast("date")), F.hour("local"), I.wall_seconds(F.col("utc")), COUNT)
     w = _t(spark, d, "aemet_prevision")
     valid = F.unix_date(rolling.valid_day(F.col("valid_date")))
-    c = spikes.flag(w, "row_id", F.col("municipio_code"), F.col("temperature_max_c"), valid, F.lit(0), valid, day(I.iso_us(F.col("captured_at"))), WARMTH)
+    c = spikes.flag(w, "row_id", F.col("municipio_code"), F.col("temperature_max_c"), valid, F.lit(0), valid, WARMTH)
     tag = lambda t, x: x.select(F.lit(t).alias("table_name"), "row_id", "reason")
     return tag("ruido", a).unionByName(tag("aforos_peatones_bicicletas", b)).unionByName(tag("aemet_prevision", c))
 

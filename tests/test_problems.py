@@ -162,10 +162,10 @@ def test_spikes(spark):
     rows.append((len(rows), "a", None, 60.0))
     rows.append((len(rows), "a", 5, None))
     df = spark.createDataFrame(rows, "row_id bigint, s string, d int, v double")
-    chart = spikes.Chart(low=15, high=140, floor_up=13, floor_down=13, width=5, run=6, chunk=64, halo=20)
-    out = spikes.flag(df, "row_id", F.col("s"), F.col("v"), F.col("d"), F.lit(0), F.col("d"), F.lit(100), chart)
+    chart = spikes.Chart(low=15, high=140, finest=0.5, width=6, run=6)
+    out = spikes.flag(df, "row_id", F.col("s"), F.col("v"), F.col("d"), F.lit(0), F.col("d"), chart)
     assert {r.row_id for r in out.collect()} == bad
-    assert spikes.flag(df.limit(0), "row_id", F.col("s"), F.col("v"), F.col("d"), F.lit(0), F.col("d"), F.lit(0), chart).count() == 0
+    assert spikes.flag(df.limit(0), "row_id", F.col("s"), F.col("v"), F.col("d"), F.lit(0), F.col("d"), chart).count() == 0
 
 
 def test_stuck_stretch_with_corrected_hours(spark):
@@ -176,15 +176,41 @@ def test_stuck_stretch_with_corrected_hours(spark):
     for extra in ([(45, 59.0)], [(45, 63.0)], [(45, -99.0)], [(45, 63.0), (46, 59.0), (46, 61.7)]):
         rows = [(i, k, v) for i, (k, v) in enumerate(usual(0, 40) + usual(52, 90) + extra + stuck)]
         pdf = spark.createDataFrame(rows, "row_id bigint, d int, v double")
-        chart = spikes.Chart(low=15, high=140, floor_up=13, floor_down=13, width=5, run=10, chunk=64, halo=20)
-        got = {r.row_id for r in spikes.flag(pdf, "row_id", F.lit("a"), F.col("v"), F.col("d"), F.lit(0), F.col("d"), F.lit(0), chart).collect()}
+        chart = spikes.Chart(low=15, high=140, finest=0.5, width=6, run=10)
+        got = {r.row_id for r in spikes.flag(pdf, "row_id", F.lit("a"), F.col("v"), F.col("d"), F.lit(0), F.col("d"), chart).collect()}
         assert got == {i for i, k, v in rows if v in (61.7, -99.0)}
     rows = [(i, k, v) for i, (k, v) in enumerate(usual(0, 40) + usual(52, 90) + [(k, -99.0 if k == 45 else v) for k, v in stuck])]
     pdf = spark.createDataFrame(rows, "row_id bigint, d int, v double")
-    got = {r.row_id for r in spikes.flag(pdf, "row_id", F.lit("a"), F.col("v"), F.col("d"), F.lit(0), F.col("d"), F.lit(0), chart).collect()}
+    got = {r.row_id for r in spikes.flag(pdf, "row_id", F.lit("a"), F.col("v"), F.col("d"), F.lit(0), F.col("d"), chart).collect()}
     assert got == {i for i, k, v in rows if v in (61.7, -99.0)}
 
 
+def test_limits_follow_each_source(spark, monkeypatch):
+    rnd, rows = random.Random(21), []
+    for s, spread in (("quiet", 0.3), ("lively", 4.0)):
+        rows += [(s, k, 60 + rnd.gauss(0, spread)) for k in range(300) if k % 100]
+        rows += [(s, k, 70.0) for k in (100, 200)]
+    rows = [(i, *r) for i, r in enumerate(rows)]
+    df = spark.createDataFrame(rows, "row_id bigint, s string, d int, v double")
+    chart = spikes.Chart(low=15, high=140, finest=0.5, width=6)
+    run = lambda c: {r.row_id for r in spikes.flag(df, "row_id", F.col("s"), F.col("v"), F.col("d"), F.lit(0), F.col("d"), c).collect()}
+    assert run(chart) == {r[0] for r in rows if r[1] == "quiet" and r[3] == 70.0}
+    # blocks of any size hold the same series
+    one = spikes.chart_block(df.toPandas().rename(columns={"s": "series", "d": "t"}).assign(step=lambda x: x["t"], slot=0, placed=True).sort_values(["series", "t", "v"]).reset_index(drop=True), chart)
+    assert len(one) == 2
+    monkeypatch.setattr(spikes, "BLOCK_CELLS", 10)
+    two = spikes.chart_block(df.toPandas().rename(columns={"s": "series", "d": "t"}).assign(step=lambda x: x["t"], slot=0, placed=True).sort_values(["series", "t", "v"]).reset_index(drop=True), chart)
+    assert two.sort_values("t").reset_index(drop=True).equals(one.sort_values("t").reset_index(drop=True))
+
+
+def test_stretch_of_a_sparse_series(spark):
+    rows = [(k, k * 30, 55.5 if 14 <= k < 20 else 60 + (k * 7 % 5) / 10) for k in range(40)] + [(99, 3_000_000, 60.0)]
+    df = spark.createDataFrame(rows, "row_id bigint, d int, v double")
+    chart = spikes.Chart(low=15, high=140, finest=0.5, width=60, run=6)
+    got = {r.row_id for r in spikes.flag(df, "row_id", F.lit("a"), F.col("v"), F.col("d"), F.lit(0), F.col("d"), chart).collect()}
+    assert got == set(range(14, 20))
+
+
 RAW = "file_id bigint, feed string, landed_at timestamp_ntz, line_no bigint, record string"
 
 
