@@ -92,18 +92,22 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return spike_rows(spark, d).select("table_name", "row_id")
 
 
-TIMES = (("agenda_eventos", "start_datetime", None), ("aforos_peatones_bicicletas", "measured_at", "ingested_at"), ("aemet_prevision", "elaborated_at", "captured_at"))
+TIMES = (("agenda_eventos", "start_datetime", "captured_at"), ("aforos_peatones_bicicletas", "measured_at", "ingested_at"), ("aemet_prevision", "elaborated_at", "captured_at"))
+
+
+ZONED = r"^(\d{10}|\d{13}|\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(\.\d{1,6})?(Z|[+-]\d{2}:\d{2}))$"
 
 
 def instants_of(spark: SparkSession, d: str) -> DataFrame:
     """(table_name, row_id, instant_utc, instant_status) of the three tables of problem 7.
 
-    Announced starts have no ingestion to align with, so the declared zone
-    holds for them; measured and elaborated times are aligned.
+    All three are aligned with the instant their record was captured. For
+    announced starts, mostly days ahead of it, that says nothing about the zone,
+    so the declared one holds there.
     """
     out = None
     for table, text, ingested in TIMES:
-        df = _t(spark, d, table).select(F.lit(table).alias("table_name"), "row_id", "source", text, *[c for c in (ingested,) if c])
+        df = _t(spark, d, table).select(F.lit(table).alias("table_name"), "row_id", "source", text, ingested)
         n = instants.normalise(df, text, "Europe/Madrid", source="source", ingested=ingested).select("table_name", "row_id", "instant_utc", "instant_status")
         out = n if out is None else out.unionByName(n)
     return out
@@ -119,4 +123,15 @@ def p7_instants(spark: SparkSession, d: str) -> DataFrame:
     return instants_of(spark, d).select("table_name", "row_id", F.date_format("instant_utc", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("instant_utc"), "instant_status")
 
 
-QUERIES = {"p1_found": p1_found, "p1_rolling": p1_rolling, "p2_found": p2_found, "p2_table": p2_table, "p3_found": p3_found, "p3_manifest": p3_manifest, "p4_found": p4_found, "p5_found": p5_found, "p7_found": p7_found, "p7_instants": p7_instants}
+def p7_zoned(spark: SparkSession, d: str) -> DataFrame:
+    """The instants of texts that are ISO with an offset, or epochs; what SQL can read by itself."""
+    out = None
+    for table, text, ingested in TIMES:
+        df = _t(spark, d, table).where(F.col(text).rlike(ZONED)).select(F.lit(table).alias("table_name"), "row_id", "source", text, ingested)
+        n = instants.normalise(df, text, "Europe/Madrid", source="source", ingested=ingested).where("instant_status = 'ok'")
+        n = n.select("table_name", "row_id", F.date_format("instant_utc", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("instant_utc"))
+        out = n if out is None else out.unionByName(n)
+    return out
+
+
+QUERIES = {"p1_found": p1_found, "p1_rolling": p1_rolling, "p2_found": p2_found, "p2_table": p2_table, "p3_found": p3_found, "p3_manifest": p3_manifest, "p4_found": p4_found, "p5_found": p5_found, "p7_found": p7_found, "p7_instants": p7_instants, "p7_zoned": p7_zoned}

@@ -85,34 +85,39 @@ def test_instants(spark):
     assert instants.normalise(spark.createDataFrame([], "t string"), "t").count() == 0
 
 
-def test_zone_is_estimated_from_ingestion(spark):
-    base = datetime(2025, 7, 1)
+def _feed(name, base, weeks, east, per_week=20, zoned=0):
+    """Readings every six hours, seen seven minutes later; ``zoned`` of each week's texts carry an offset."""
     rows = []
-    for k in range(400):
-        utc = base + timedelta(hours=k)
-        rows.append(("utc-feed", utc.strftime("%Y-%m-%dT%H:%M:%S"), (utc + timedelta(minutes=7)).strftime("%Y-%m-%dT%H:%M:%S+00:00")))
-        rows.append(("madrid-feed", (utc + timedelta(hours=2)).strftime("%Y-%m-%dT%H:%M:%S"), (utc + timedelta(minutes=7)).strftime("%Y-%m-%dT%H:%M:%S+00:00")))
-    # a feed written in a zone further east shows times later than their ingestion under Madrid
-    for k in range(400):
-        utc = base + timedelta(hours=k)
-        rows.append(("east-feed", (utc + timedelta(hours=3)).strftime("%Y-%m-%dT%H:%M:%S"), (utc + timedelta(minutes=7)).strftime("%Y-%m-%dT%H:%M:%S+00:00")))
-    df = spark.createDataFrame(rows, "source string, t string, seen string")
-    out = instants.normalise(df, "t", source="source", ingested="seen", zone_used="z").groupBy("source").agg(F.collect_set("z").alias("z")).collect()
-    z = {r.source: r.z for r in out}
-    assert z["madrid-feed"] == ["Europe/Madrid"] and z["east-feed"] == ["Europe/Helsinki"] and z["utc-feed"] == ["Europe/Madrid"]
+    for week in weeks:
+        for k in range(per_week):
+            utc = base + timedelta(weeks=week, hours=4 + k * 6)
+            seen = (utc + timedelta(minutes=7)).strftime("%Y-%m-%dT%H:%M:%S+00:00")
+            text = utc.strftime("%Y-%m-%dT%H:%M:%SZ") if k < zoned else (utc + timedelta(hours=east(week))).strftime("%Y-%m-%dT%H:%M:%S")
+            rows.append((name, week, text, seen, utc))
+    return rows
+
+
+FEED = "source string, week int, t string, seen string, utc timestamp_ntz"
+
+
+def test_zone_is_estimated_from_ingestion(spark):
+    base, weeks = datetime(2025, 5, 8), range(15)  # weeks count from a Thursday; all of summer time
+    rows = _feed("utc", base, weeks, lambda w: 0, zoned=4) + _feed("canary", base, weeks, lambda w: 1, zoned=4) + _feed("madrid", base, weeks, lambda w: 2, zoned=4)
+    rows += _feed("east", base, weeks, lambda w: 3, zoned=4) + _feed("east-unlearned", base, weeks, lambda w: 3) + _feed("madrid-unlearned", base, weeks, lambda w: 2) + _feed(None, base, weeks, lambda w: 0, zoned=4)
+    df = spark.createDataFrame(rows, FEED)
+    out = instants.normalise(df, "t", source="source", ingested="seen", zone_used="z").collect()
+    assert len(out) == len(rows) and all(r.instant_utc == r.utc for r in out)
+    z = {r.source: r.z for r in out if not r.t.endswith("Z")}
+    assert z == {"utc": "UTC", "canary": "Atlantic/Canary", "madrid": "Europe/Madrid", "east": "Europe/Helsinki", "east-unlearned": "Europe/Helsinki", "madrid-unlearned": "Europe/Madrid", None: "UTC"}
 
 
 def test_zone_history_keeps_the_stretch_between(spark):
-    base, rows = datetime(2025, 5, 8), []  # weeks count from a Thursday
-    for week in range(20):
-        east = 2 if 6 <= week < 14 else 3
-        for k in range(20):
-            utc = base + timedelta(weeks=week, hours=4 + k * 6)
-            rows.append((None, week, (utc + timedelta(hours=east)).strftime("%Y-%m-%dT%H:%M:%S"), (utc + timedelta(minutes=7)).strftime("%Y-%m-%dT%H:%M:%S+00:00"), utc))
-    df = spark.createDataFrame(rows, "source string, week int, t string, seen string, utc timestamp_ntz")
-    for most in (2000, 0):
-        out = instants.normalise(df, "t", source="source", ingested="seen", max_segments=most).collect()
-        assert len(out) == 400 and all(r.instant_utc == r.utc for r in out)
+    base = datetime(2025, 5, 8)
+    rows = _feed("utc-madrid-utc", base, range(20), lambda w: 2 if 6 <= w < 14 else 0, zoned=4) + _feed("east-madrid-east", base, range(20), lambda w: 2 if 6 <= w < 14 else 3)
+    df = spark.createDataFrame(rows, FEED)
+    for limit in (1 << 20, 0):
+        out = instants.normalise(df, "t", source="source", ingested="seen", broadcast_limit=limit).collect()
+        assert len(out) == len(rows) and all(r.instant_utc == r.utc for r in out)
 
 
 def _hav(a, b):
