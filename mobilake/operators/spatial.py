@@ -7,11 +7,17 @@ every ring counts). Edges are half-open in latitude, so a vertex counts once.
 A point exactly on an edge is handled on its own: it is found by the exact
 collinearity test and belongs to every region whose edge it lies on.
 
-``near``: points go to cells of at least the radius; each point is looked up
-in its own cell and in four of the eight neighbours, so every pair of cells
-meets once. The exact distance decides.
-
-Edge cases: null, NaN or out-of-range coordinates take no part; a point given
+``near``: equal coordinates are one place, whatever the number of points there,
+so ``near_places`` finds pairs of places plus the places' members, and no group
+of points on one spot is paired with itself. Places go to bands of latitude and,
+within a band, to cells of longitude as wide as the radius is there, so the
+grid holds up to the poles and goes around at 180 degrees. Each place is looked
+up in its own cell and in the neighbours one cell on, so every pair of cells
+meets once. A cell with many places is split in salted parts: one side is
+spread over them, the other copied to each. The exact distance decides.
+
+Edge cases: null, NaN or out-of-range coordinates (beyond 90 and 180 degrees)
+take no part; a point given
 twice gives each case once; polygons given twice count once; rings may run
 either way and may lack the closing point; rings of fewer than three points
 and null geometries enclose nothing; empty tables give empty results.
@@ -40,20 +46,75 @@ def in_box(lat: Column, lon: Column, south: float, north: float, west: float, ea
     return F.coalesce(lat.between(south, north) & lon.between(west, east), F.lit(False))
 
 
-def near(points: DataFrame, key: str, lat: Column, lon: Column, radius_m: float, max_abs_lat: float = 60.0) -> DataFrame:
-    """(left_id, right_id, distance_m): pairs of different keys at most radius_m apart, smaller key left, once each."""
-    dlat = math.degrees(radius_m / EARTH_M) * 1.000001
-    dlon = dlat / math.cos(math.radians(max_abs_lat)) * 1.000001
+CELL_PLACES = 2_000  # places of a cell that one task pairs
+
+
+def _columns(cy: Column, dlat: float, angle: float) -> Column:
+    """Cells of longitude in a band of latitude and the one above, each at least as wide as the radius is at their higher edge."""
+    edge = F.least(F.lit(90.0), F.greatest(F.abs(cy), F.abs(cy + 2)) * dlat)
+    width = F.degrees(2 * F.asin(F.least(F.lit(1.0), math.sin(angle / 2) / F.greatest(F.cos(F.radians(edge)), F.lit(1e-15))))) * 1.000001
+    return F.greatest(F.lit(1), F.floor(360.0 / width)).cast("bigint")
+
+
+def places(points: DataFrame, key: str, lat: Column, lon: Column) -> tuple[DataFrame, DataFrame]:
+    """(places: place, lat, lon; members: place, id): equal coordinates are one place; ids given twice count once."""
     p = points.select(F.col(key).alias("id"), lat.cast("double").alias("lat"), lon.cast("double").alias("lon"))
-    p = p.where(F.col("id").isNotNull() & (F.abs("lat") <= max_abs_lat) & F.col("lon").isNotNull()).distinct()
-    p = p.withColumns({"cy": F.floor(F.col("lat") / dlat), "cx": F.floor(F.col("lon") / dlon)})
-    steps = F.array(*[F.struct(F.lit(x).alias("dx"), F.lit(y).alias("dy")) for x, y in ((0, 0), (1, 0), (-1, 1), (0, 1), (1, 1))])
-    r = p.select(F.col("id").alias("id2"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), "cx", "cy", F.explode(steps).alias("s"))
-    r = r.select("id2", "lat2", "lon2", (F.col("cx") + F.col("s.dx")).alias("cx"), (F.col("cy") + F.col("s.dy")).alias("cy"), ((F.col("s.dx") == 0) & (F.col("s.dy") == 0)).alias("own"))
-    d = haversine_m(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2"))
-    pairs = p.join(r, ["cx", "cy"]).where((~F.col("own") & (F.col("id") != F.col("id2"))) | (F.col("own") & (F.col("id") < F.col("id2"))))
-    pairs = pairs.where(F.abs(F.col("lat") - F.col("lat2")) <= dlat).withColumn("distance_m", d).where(F.col("distance_m") <= radius_m)
-    return pairs.groupBy(F.least("id", "id2").alias("left_id"), F.greatest("id", "id2").alias("right_id")).agg(F.min("distance_m").alias("distance_m"))
+    p = p.where(F.col("id").isNotNull() & F.col("lat").between(-90, 90) & F.col("lon").between(-180, 180)).withColumns({"lat": F.col("lat") + 0.0, "lon": F.when(F.col("lon") == -180, 180.0).otherwise(F.col("lon") + 0.0)})
+    at = F.struct("lat", "lon")
+    members = p.select(at.alias("place"), "id").distinct()
+    return members.select("place").distinct().select("place", "place.lat", "place.lon"), members
+
+
+def near_places(spots: DataFrame, radius_m: float, split: int = CELL_PLACES) -> DataFrame:
+    """(a, b, distance_m): pairs of different places at most radius_m apart, once each."""
+    angle = min(math.pi, radius_m / EARTH_M)
+    dlat = math.degrees(angle) * 1.000001
+    band = F.floor(F.col("lat") / dlat).cast("bigint")
+    # a band's own grid of longitudes serves all pairs whose lower place lies in it; the upper one is put on it too
+    p = spots.withColumn("cy", band).withColumn("n", _columns(F.col("cy"), dlat, angle))
+    cell = lambda n: F.pmod(F.floor((F.col("lon") + 180) / 360 * n).cast("bigint"), n)
+    low = p.withColumn("cx", cell(F.col("n")))
+    high = p.select("place", "lat", "lon", F.explode(F.array(F.struct(F.col("cy").alias("g"), F.lit(True).alias("own")), F.struct((F.col("cy") - 1).alias("g"), F.lit(False).alias("own")))).alias("s"))
+    high = high.select("place", "lat", "lon", F.col("s.g").alias("cy"), "s.own").withColumn("n", _columns(F.col("cy"), dlat, angle))
+    high = high.withColumn("c", cell(F.col("n")))
+    steps = F.array_distinct(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda k: F.pmod(F.col("c") + k, F.col("n"))))
+    high = high.select("place", "lat", "lon", "cy", "own", F.explode(steps).alias("cx"))
+    # a hot cell's lower places are spread over parts, its upper ones copied to each
+    hot = low.groupBy("cy", "cx").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > split).select("cy", "cx", F.ceil(F.col("k") / split).cast("int").alias("parts"))
+    part = lambda d: d.join(hot, ["cy", "cx"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    a = part(low).select(F.col("place").alias("a"), F.col("lat").alias("lat1"), F.col("lon").alias("lon1"), "cy", "cx", F.pmod(F.xxhash64("place"), F.col("parts")).cast("int").alias("part"))
+    b = part(high).select(F.col("place").alias("b"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), "own", "cy", "cx", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    pairs = a.join(b, ["cy", "cx", "part"]).where(~F.col("own") | (F.col("a") < F.col("b"))).where(F.abs(F.col("lat1") - F.col("lat2")) <= dlat)
+    d = haversine_m(F.col("lat1"), F.col("lon1"), F.col("lat2"), F.col("lon2"))
+    return pairs.select("a", "b", d.alias("distance_m")).where(F.col("distance_m") <= radius_m)
+
+
+def near(points: DataFrame, key: str, lat: Column, lon: Column, radius_m: float) -> DataFrame:
+    """(left_id, right_id, distance_m): pairs of different keys at most radius_m apart, smaller key left, once each.
+
+    Writes out all pairs. Where many keys may share a spot, take
+    ``near_classes``, which does not.
+    """
+    spots, members = places(points, key, lat, lon)
+    m = lambda i, c: members.select(F.col("place").alias(c), F.col("id").alias(i))
+    apart = near_places(spots, radius_m).join(m("l", "a"), "a").join(m("r", "b"), "b").where(F.col("l") != F.col("r")).select("l", "r", "distance_m")
+    shared = members.groupBy("place").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select(F.col("place").alias("a"))
+    same = m("l", "a").join(shared, "a").join(m("r", "a"), "a").where(F.col("l") < F.col("r")).select("l", "r", F.lit(0.0).alias("distance_m"))
+    return apart.unionByName(same).groupBy(F.least("l", "r").alias("left_id"), F.greatest("l", "r").alias("right_id")).agg(F.min("distance_m").alias("distance_m"))
+
+
+def near_classes(points: DataFrame, key: str, lat: Column, lon: Column, radius_m: float) -> tuple[DataFrame, DataFrame]:
+    """(pairs: class_a, class_b, distance_m; members: id, class): keys on one spot are one class, named by its least key.
+
+    Keys of one class are at distance 0 of one another; keys of two paired
+    classes are near each other. Nothing is lost, and no group is squared.
+    """
+    spots, members = places(points, key, lat, lon)
+    names = members.groupBy("place").agg(F.min("id").alias("class"))
+    n = lambda c, to: names.select(F.col("place").alias(c), F.col("class").alias(to))
+    pairs = near_places(spots, radius_m).join(n("a", "class_a"), "a").join(n("b", "class_b"), "b")
+    pairs = pairs.select(F.least("class_a", "class_b").alias("class_a"), F.greatest("class_a", "class_b").alias("class_b"), "distance_m")
+    return pairs, members.join(names, "place").select("id", "class")
 
 
 def edges(regions: DataFrame, key: str, coordinates: Column, strip_deg: float) -> DataFrame:

@@ -274,7 +274,7 @@ def pip_join(spark: SparkSession, d: str) -> DataFrame:
 def proximity_pairs(spark: SparkSession, d: str) -> DataFrame:
     """[J8, M8]"""
     p = _t(spark, d, "poi_madrid").where(spatial.in_box(F.col("location.lat"), F.col("location.lon"), 39, 42, -5, -2))
-    return spatial.near(p, "poi_id", F.col("location.lat"), F.col("location.lon"), 300.0, 42.0).select(F.col("left_id").alias("src"), F.col("right_id").alias("dst"))
+    return spatial.near(p, "poi_id", F.col("location.lat"), F.col("location.lon"), 300.0).select(F.col("left_id").alias("src"), F.col("right_id").alias("dst"))
 
 
 @query()

@@ -111,7 +111,7 @@ def places_near_events(spark: SparkSession, d: str) -> DataFrame:
     """Q5: places within 150 m of an event's venue, nearest first by distance."""
     e = _t(spark, d, "agenda_eventos").select(F.concat(F.lit("e:"), F.col("event_id")).alias("id"), F.col("location.lat").alias("lat"), F.col("location.lon").alias("lon")).where(spatial.in_box(F.col("lat"), F.col("lon"), 39, 42, -5, -2))
     p = _t(spark, d, "poi_madrid").select(F.concat(F.lit("p:"), F.col("poi_id")).alias("id"), F.col("location.lat").alias("lat"), F.col("location.lon").alias("lon")).where(spatial.in_box(F.col("lat"), F.col("lon"), 39, 42, -5, -2))
-    n = spatial.near(e.union(p), "id", F.col("lat"), F.col("lon"), 150.0, 42.0)
+    n = spatial.near(e.union(p), "id", F.col("lat"), F.col("lon"), 150.0)
     return n.where(F.col("left_id").startswith("e:") & F.col("right_id").startswith("p:")).select(F.substring("left_id", 3, 100).alias("event_id"), F.substring("right_id", 3, 100).alias("poi_id"), F.round("distance_m", 3).alias("distance_m"))
 
 

@@ -21,6 +21,8 @@ ORDER BY try_cast(ingested_at AS TIMESTAMPTZ) NULLS LAST, row_id) AS n FROM afor
     "p3_manifest": r"""SELECT (SELECT count(*) FROM aforos_peatones_bicicletas) - (SELECT count(*) FROM (SELECT row_number() OVER (PARTITION BY schema_version, source, station_id, device_id, mode, measured_at, pedestrian_count, bicycle_count, district_code, district, address, address_notes, location ORDER BY row_id) AS n FROM aforos_peatones_bicicletas WHERE regexp_matches(measured_at,'\S')) WHERE n>1) AS n_rows""",
     "p4_found": _NEAR + ", " + _EDGES + " SELECT 'near' AS kind, left_id, right_id FROM near UNION ALL SELECT 'within', poi_id, neighbourhood_id FROM w",
 }
+SQL["p4_places"] = _NEAR + """, e AS (SELECT left_id AS id FROM near UNION ALL SELECT right_id FROM near), k AS (SELECT id, count(*) AS n FROM e GROUP BY 1)
+SELECT poi_id, min(poi_id) OVER (PARTITION BY lat, lon) AS place, coalesce(n, 0) AS links FROM p LEFT JOIN k ON poi_id=id"""
 _ZONED = r"^(\d{10}|\d{13}|\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(\.\d{1,6})?(Z|[+-]\d{2}:\d{2}))$"
 _INSTANT = "CASE WHEN length(t)=10 THEN make_timestamp(CAST(t AS BIGINT)*1000000) WHEN length(t)=13 THEN make_timestamp(CAST(t AS BIGINT)*1000) ELSE timezone('UTC', try_cast(t AS TIMESTAMPTZ)) END"
 _TEXTS = " UNION ALL ".join(f"SELECT '{a}' AS table_name, row_id, {b} AS t FROM {a}" for a, b in (("agenda_eventos", "start_datetime"), ("aforos_peatones_bicicletas", "measured_at"), ("aemet_prevision", "elaborated_at")))

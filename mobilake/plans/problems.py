@@ -64,12 +64,22 @@ def _places(spark: SparkSession, d: str) -> DataFrame:
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """Places within 20 m of each other, and the neighbourhood around each place."""
     poi, lat, lon = _places(spark, d), F.col("location.lat"), F.col("location.lon")
-    n = spatial.near(poi, "poi_id", lat, lon, 20.0, max_abs_lat=42.0)
+    n = spatial.near(poi, "poi_id", lat, lon, 20.0)
     w = spatial.within(poi, "poi_id", lat, lon, _t(spark, d, "barrios_madrid"), "neighbourhood_id", F.col("geometry.coordinates"))
     near = n.select(F.lit("near").alias("kind"), "left_id", "right_id")
     return near.union(w.select(F.lit("within"), "point_id", "region_id"))
 
 
+def p4_places(spark: SparkSession, d: str) -> DataFrame:
+    """Every place with its class (places on one spot, named by the least) and the number of other places within 20 m."""
+    pairs, members = spatial.near_classes(_places(spark, d), "poi_id", F.col("location.lat"), F.col("location.lon"), 20.0)
+    sizes = members.groupBy("class").agg(F.count(F.lit(1)).alias("k"))
+    ends = pairs.select(F.explode(F.array(F.struct(F.col("class_a").alias("class"), F.col("class_b").alias("class2")), F.struct(F.col("class_b").alias("class"), F.col("class_a").alias("class2")))).alias("e")).select("e.*")
+    others = ends.join(sizes.withColumnRenamed("class", "class2"), "class2").groupBy("class").agg(F.sum("k").alias("others"))
+    links = sizes.join(others, "class", "left").select("class", (F.col("k") - 1 + F.coalesce("others", F.lit(0))).alias("links"))
+    return members.join(links, "class").select(F.col("id").alias("poi_id"), F.col("class").alias("place"), "links")
+
+
 def spike_rows(spark: SparkSession, d: str) -> DataFrame:
     """(table_name, row_id, reason) over the three tables of problem 5."""
     r = _t(spark, d, "ruido")
@@ -134,4 +144,4 @@ def p7_zoned(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
-QUERIES = {"p1_found": p1_found, "p1_rolling": p1_rolling, "p2_found": p2_found, "p2_table": p2_table, "p3_found": p3_found, "p3_manifest": p3_manifest, "p4_found": p4_found, "p5_found": p5_found, "p7_found": p7_found, "p7_instants": p7_instants, "p7_zoned": p7_zoned}
+QUERIES = {"p1_found": p1_found, "p1_rolling": p1_rolling, "p2_found": p2_found, "p2_table": p2_table, "p3_found": p3_found, "p3_manifest": p3_manifest, "p4_found": p4_found, "p4_places": p4_places, "p5_found": p5_found, "p7_found": p7_found, "p7_instants": p7_instants, "p7_zoned": p7_zoned}

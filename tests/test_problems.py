@@ -44,7 +44,11 @@ def test_rolling_against_brute_force(spark):
 def test_rolling_odd_values_and_empty(spark):
     df = spark.createDataFrame([("A", "2025-01-01", float("nan")), ("A", "2025-01-09", 1e300), ("A", "2025-01-20", 50.0)], RUIDO)
     r = {x.day.isoformat(): x for x in rolling.trailing(df, "station_id", _day(), "laeq_db").collect()}
-    assert r["2025-01-01"].total_7 is None and r["2025-01-01"].n_7 == 1 and r["2025-01-08"].total_7 == 0.0 and r["2025-01-20"].total_7 == 50.0
+    assert math.isnan(r["2025-01-01"].total_7) and r["2025-01-01"].n_7 == 1 and r["2025-01-08"].total_7 == 0.0 and r["2025-01-20"].total_7 == 50.0
+    assert r["2025-01-09"].total_7 == 1e300 and r["2025-01-15"].total_7 == 1e300 and r["2025-01-16"].total_7 == 0.0
+    big = spark.createDataFrame([("A", "2025-01-01", 5e12), ("A", "2025-01-02", 1e-20), ("A", "2025-01-03", 0.1234567890123), ("A", "2025-01-12", 0.3)], RUIDO)
+    r = {x.day.isoformat(): x for x in rolling.trailing(big, "station_id", _day(), "laeq_db").collect()}
+    assert r["2025-01-07"].total_7 == pytest.approx(5e12 + 0.1234567890123) and r["2025-01-09"].total_7 == 0.1234567890123 and r["2025-01-12"].avg_7 == 0.3
     none = spark.createDataFrame([], RUIDO)
     assert rolling.empty_periods(none, "station_id", _day(), "laeq_db").count() == 0
     found = rolling.empty_periods(df, "station_id", _day(), "laeq_db").where("period_days = 7").collect()
@@ -130,12 +134,34 @@ def test_near_against_brute_force(spark):
     pts = [(f"p{i}", 40.4 + rnd.gauss(0, 0.0006), -3.7 + rnd.gauss(0, 0.0006)) for i in range(250)]
     pts += [pts[0], ("p1", *pts[0][1:]), ("n", None, -3.7), ("m", float("nan"), -3.7)]
     df = spark.createDataFrame(pts, "id string, lat double, lon double")
-    got = {(r.left_id, r.right_id) for r in spatial.near(df, "id", F.col("lat"), F.col("lon"), 20.0, 42.0).collect()}
+    got = {(r.left_id, r.right_id) for r in spatial.near(df, "id", F.col("lat"), F.col("lon"), 20.0).collect()}
     ok = [p for p in pts if p[1] is not None and p[1] == p[1]]
     want = {tuple(sorted((a[0], b[0]))) for a in ok for b in ok if a[0] != b[0] and _hav(a[1:], b[1:]) <= 20}
     assert got == want
 
 
+def test_near_at_poles_date_line_and_equator(spark):
+    rnd = random.Random(12)
+    pts = [(f"a{i}", 64 + rnd.gauss(0, 0.0003), 25 + rnd.gauss(0, 0.0006)) for i in range(60)]
+    pts += [(f"b{i}", rnd.gauss(0, 0.0003), (180 + rnd.gauss(0, 0.0003) + 180) % 360 - 180) for i in range(60)]
+    pts += [(f"c{i}", 90 - abs(rnd.gauss(0, 0.0003)), rnd.uniform(-180, 180)) for i in range(60)]
+    pts += [("d1", -90.0, 12.0), ("d2", -90.0, -100.0), ("e1", 5.0, 180.0), ("e2", 5.0, -180.0), ("f", 91.0, 0.0)]
+    df = spark.createDataFrame(pts, "id string, lat double, lon double")
+    spots, members = spatial.places(df, "id", F.col("lat"), F.col("lon"))
+    want = {tuple(sorted((a[0], b[0]))) for a in pts for b in pts if a[0] < b[0] and a[1] <= 90 and b[1] <= 90 and _hav(a[1:], b[1:]) <= 30}
+    assert {(r.left_id, r.right_id) for r in spatial.near(df, "id", F.col("lat"), F.col("lon"), 30.0).collect()} == want and len(want) > 300
+    # split cells give the same pairs
+    assert {(tuple(r.a), tuple(r.b)) for r in spatial.near_places(spots, 30.0, split=2).collect()} == {(tuple(r.a), tuple(r.b)) for r in spatial.near_places(spots, 30.0).collect()}
+
+
+def test_near_with_many_ids_on_one_spot(spark):
+    n = 100_000
+    df = spark.range(n).select(F.format_string("p%06d", "id").alias("id"), F.lit(40.4).alias("lat"), F.lit(-3.7).alias("lon")).union(spark.createDataFrame([("q", 40.4001, -3.7), ("r", 40.5, -3.7)], "id string, lat double, lon double"))
+    pairs, members = spatial.near_classes(df, "id", F.col("lat"), F.col("lon"), 20.0)
+    assert [(r.class_a, r.class_b) for r in pairs.collect()] == [("p000000", "q")]
+    assert {r["class"]: r["count"] for r in members.groupBy("class").count().collect()} == {"p000000": n, "q": 1, "r": 1}
+
+
 def test_within_holes_borders_and_copies(spark):
     square = [[[0.0, 0.0], [4.0, 0.0], [4.0, 4.0], [0.0, 4.0], [0.0, 0.0]], [[1.0, 1.0], [1.0, 3.0], [3.0, 3.0], [3.0, 1.0]]]
     multi = [[[[10.0, 0.0], [12.0, 0.0], [11.0, 2.0]]], [[[10.5, 0.5], [11.5, 0.5], [11.0, 1.0]]]]
