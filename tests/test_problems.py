@@ -324,10 +324,39 @@ def test_compaction(spark, tmp_path):
     assert {tuple(r) for r in back.select(df.columns).collect()} == {tuple(r) for r in df.collect() if r.row_id not in want}
     m = manifest.collect()
     assert sum(x.n_rows for x in m) == len(rows) - len(want) and len(m) <= 14
+    assert max(x.n_rows for x in m) <= 2 * sum(x.n_rows for x in m) / len(m)
+    shuffled = compaction.duplicates(df, "row_id", ["row_id", "file_id", "ingested_at"], I.iso_us(F.col("ingested_at")), F.col("measured_at").rlike(r"\S"), broadcast_limit=0)
+    assert {r.row_id for r in shuffled.collect()} == want
     root, manifest = compaction.compact(df.limit(0), files.limit(0), "file_id", "row_id", root=f"file://{tmp_path}/e")
     assert manifest.count() == 0
 
 
+def test_groups_keep_the_balance_of_the_heap(spark):
+    rnd = random.Random(8)
+    files = spark.createDataFrame([(i, rnd.randrange(1, 1000)) for i in range(3000)], "file_id bigint, n_bytes bigint")
+    planned = compaction.plan(files, "file_id", "n_bytes", target_bytes=20_000, files_per_bucket=500)
+    p, n = compaction.numbered(planned)
+    loads = {r.grp: r.b for r in p.join(files, "file_id").groupBy("grp").agg(F.sum("n_bytes").alias("b")).collect()}
+    assert sorted(loads) == list(range(n)) and max(loads.values()) <= 1.1 * sum(loads.values()) / n
+    # every group is a partition of its own
+    parts = p.repartitionById(n, "grp").select(F.spark_partition_id().alias("p"), "grp").distinct().collect()
+    assert len(parts) == n and all(r.p == r.grp for r in parts)
+
+
+def test_work_folder_is_shared_and_cleared(spark, tmp_path):
+    import os
+
+    from mobilake import session
+
+    path = session.work_path(spark, "x")
+    assert path.startswith("file:///") and spark.sparkContext.applicationId in path
+    kept = session.cut(spark.range(3), "kept")
+    assert kept.count() == 3
+    session.clear_work(spark)
+    assert not os.path.exists(os.path.dirname(path)[7:])
+    assert session.qualified(spark, "/a/b") == "file:///a/b"
+
+
 def test_longest_first_is_balanced():
     sizes = [random.Random(5).randrange(1, 100) for _ in range(500)]
     groups = compaction.longest_first(sizes, 7)
