@@ -129,14 +129,15 @@ def normalise(df: DataFrame, text: str, declared: str = "Europe/Madrid", source:
     zone, d = F.lit(declared), df
     if ingested:
         src = (F.col(source) if source else F.lit("")).cast("string")
-        d = d.withColumn("__p", I.parse_local(F.col(text)))
-        hist = cut(estimate_zones(d.select("__p", src.alias("__src"), I.iso_us(F.col(ingested)).alias("__ing")), F.col("__src"), F.col("__ing"), declared, **estimate), "zones")
-        weeks = hist.select(F.col("src").alias("__hs"), F.col("wk").alias("__hw"), F.col("zone").alias("__hz"))
-        if hist.count() * 100 <= broadcast_limit:
-            weeks = F.broadcast(weeks)
-        d = d.withColumns({"__src": src, "__wk": _week(F.col("__p")["wall_us"])})
-        d = d.join(weeks, F.col("__src").eqNullSafe(F.col("__hs")) & (F.col("__wk") == F.col("__hw")), "left")
-        zone = F.coalesce("__hz", F.lit(declared))
+        p = d.withColumn("__p", I.parse_local(F.col(text)))
+        hist = cut(estimate_zones(p.select("__p", src.alias("__src"), I.iso_us(F.col(ingested)).alias("__ing")), F.col("__src"), F.col("__ing"), declared, **estimate), "zones")
+        rows = hist.count()
+        if rows:  # without any such week the declared zone holds for all rows and there is nothing to join
+            weeks = hist.select(F.col("src").alias("__hs"), F.col("wk").alias("__hw"), F.col("zone").alias("__hz"))
+            weeks = F.broadcast(weeks) if rows * 100 <= broadcast_limit else weeks
+            d = p.withColumns({"__src": src, "__wk": _week(F.col("__p")["wall_us"])})
+            d = d.join(weeks, F.col("__src").eqNullSafe(F.col("__hs")) & (F.col("__wk") == F.col("__hw")), "left")
+            zone = F.coalesce("__hz", F.lit(declared))
     d = d.withColumn("__zone", zone).withColumn("__i", I.to_instant(F.col(text).cast("string"), F.col("__zone")))
     d = d.withColumns({status: F.col("__i")["status"], instant: I.from_epoch_us(F.col("__i")["utc_us"])})
     if zone_used:
