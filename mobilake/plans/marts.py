@@ -73,7 +73,7 @@ CAST(max(temperature_max_c) AS DOUBLE) AS max_temperature_max_c, CAST(min(temper
 
 def gold_afluencia(spark: SparkSession, d: str) -> DataFrame:
     """Crowding by place and hour, fed by the drift-proof table of problem 2."""
-    t = drift.ingest(_t(spark, d, "afluencia_lugares_raw"))
+    t = drift.evolve(_t(spark, d, "afluencia_lugares_raw"))[0]
     week = "struct<" + ",".join(f"{w}:array<int>" for w in times.WEEKDAYS) + ">"
     from mobilake.functions.instants import from_epoch_us
 

@@ -36,7 +36,7 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p2_table(spark: SparkSession, d: str) -> DataFrame:
     """The records as one table with one set of fields, and what did not fit as JSON."""
-    return drift.ingest(_t(spark, d, "afluencia_lugares_raw"))
+    return drift.evolve(_t(spark, d, "afluencia_lugares_raw"))[0]
 
 
 def _compaction(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, dict]:

@@ -251,26 +251,56 @@ def _changes(spark, files):
 
 
 def test_drift_changes(spark):
+    week = lambda x: json.dumps({"lunes": [x, 7, 9], "martes": [3, x, 5]})
     files = [
         ['{"schema_version": 1, "name": "A", "live_pct": 3, "location": {"lat": 1.5}}', '{"schema_version": 1'],
         ['{"schemaVersion": "1", "name": "A", "live_pct": null, "location": {"lat": "1,5", "lon": 2.0}}'],
         ["not json", None, "[1]"],
-        ['{"schemaVersion": 2.0, "name": "A", "zona": "norte 12", "typical_by_hour": {"lunes": [1]}}', '{"schemaVersion": 2.0, "name": "A", "zona": "norte 12", "typical_by_hour": {"lunes": [1]}}'],
-        ['{"schemaVersion": 2.0, "name": "A", "barrio_zona": "norte 13", "typicalByHour": {"lunes": ["1"]}}'],
+        [f'{{"schemaVersion": 2.0, "name": "A", "zona": "norte 12", "typical_by_hour": {week(1)}}}'] * 2,
+        [f'{{"schemaVersion": 2.0, "name": "A", "zona": "norte 12", "typicalByHour": {week(1).replace("7", chr(34) + "7" + chr(34))}}}'],
+        [f'{{"schemaVersion": 2.0, "nombre": "A", "barrio_zona": "norte 12", "typicalByHour": {week(2)}}}'],
     ]
     assert _changes(spark, files) == {
         (1, "schemaVersion", "renamed"), (1, "schemaVersion", "retyped"), (1, "location.lat", "retyped"), (1, "location.lon", "added"),
         (3, "schemaVersion", "retyped"), (3, "live_pct", "removed"), (3, "location.lat", "removed"), (3, "location.lon", "removed"), (3, "zona", "added"), (3, "typical_by_hour", "added"),
-        (4, "barrio_zona", "renamed"), (4, "typicalByHour", "renamed"), (4, "typicalByHour", "retyped"),
+        (4, "typicalByHour", "renamed"), (4, "typicalByHour", "retyped"),
+        (5, "barrio_zona", "renamed"), (5, "nombre", "renamed"), (5, "typicalByHour", "retyped"),
     }
     assert drift.changes(spark.createDataFrame([], RAW)).count() == 0
 
 
+def test_names_are_learned_and_replayed(spark):
+    rnd = random.Random(31)
+    places = [(f"p{i}", f"Plaza {rnd.randrange(10**6)}") for i in range(12)]
+    files = []
+    for k in range(12):
+        pid, name, live, mock = ("place_id", "name", "live_pct", "is_mock") if k < 4 else ("lugar", "titulo", "ocupa", "is_mock") if k < 8 else ("place_id", "name", "live_pct", "prueba")
+        recs = [{pid: p, name: n, live: rnd.randrange(20, 80), mock: rnd.random() < 0.1, "cerrado": rnd.random() < 0.5} for p, n in places]
+        for r in recs if k < 2 else []:
+            del r["cerrado"]
+        files.append([json.dumps(r) for r in recs])
+    rows = [(i, "f", datetime(2025, 1, 1 + i // 2, i % 2), n, r) for i, recs in enumerate(files) for n, r in enumerate(recs)]
+    df = spark.createDataFrame(rows, RAW)
+    table, found, names = drift.evolve(df)
+    assert names["place_id"] == ("place_id", "lugar") and names["name"] == ("name", "titulo") and names["live_pct"] == ("live_pct", "ocupa") and names["is_mock"] == ("is_mock", "prueba")
+    got = {(r.file_id, r.field, r.change) for r in found.collect()}
+    assert got == {(2, "cerrado", "added"), (4, "lugar", "renamed"), (4, "titulo", "renamed"), (4, "ocupa", "renamed"), (8, "place_id", "renamed"), (8, "name", "renamed"), (8, "live_pct", "renamed"), (8, "prueba", "renamed")}
+    # every renamed field is filled under its own name, and what is left is what was never approved
+    out = table.collect()
+    assert len(out) == len(rows) and all(r.place_id and r.name and r.live_pct is not None and r.is_mock is not None for r in out)
+    assert {k for r in out for k in json.loads(r["_rescued"] or "{}")} == {"cerrado"}
+
+
+MORE = {**drift.NAMES, "schema_version": ("schema_version", "version"), "place_id": ("place_id", "pid", "id"), "location.lon": ("location.lon", "location.lng"), "live_pct": ("live_pct", "live_percent"), "is_mock": ("is_mock", "isMock", "mock"), "rating_n": ("rating_n",)}
+KINDS = {**drift.KINDS, "rating_n": "whole"}
+
+
 def test_drift_ingest_and_replay(spark):
     recs = ['{"place_id": "x", "odd2": 5, "location": {"lat": 1.5, "floor": {"n": 2}}, "mock": null}', '{"location": "here", "name": null}', '{"version": "2", "live_percent": "41", "isMock": "false", "captured_at": 1745077266000, "odd": {"a": [1]}, "location": {"lat": "40,5", "lng": -3}}', '{"schema_version": "two", "mock": 1}', "{broken", None]
+    recs += ['{"n": NaN}', '{"n": 1e400}', "[" * 100_000, '{"a": {"deep": [1, "x", null, {"b": 2.5}]}}']
     df = spark.createDataFrame([(i, r, "own") for i, r in enumerate(recs)], "n int, record string, name string")
-    assert drift.ingest(df).where("in_name = 'own'").count() == len(recs)
-    t = drift.ingest(df)
+    t = drift.ingest(df, names=MORE, kinds=KINDS, arrived="shape")
+    assert t.where("in_name = 'own'").count() == len(recs)
     r = {x.n - 2: x for x in t.collect()}
     assert json.loads(r[-2]["_rescued"]) == {"odd2": 5, "location.floor": {"n": 2}} and r[-2].location_lat == 1.5
     assert json.loads(r[-1]["_rescued"]) == {"location": "here"}
@@ -278,8 +308,10 @@ def test_drift_ingest_and_replay(spark):
     assert json.loads(r[0]["_rescued"]) == {"odd": {"a": [1]}}
     assert r[1].schema_version is None and '"schema_version":"two"' in r[1]["_rescued"] and r[1].is_mock is True
     assert '"_record":"{broken"' in r[2]["_rescued"] and r[3]["_rescued"] is None
-    again = {x.n - 2: x for x in drift.replay(t, "extra", ["odd"], "json").collect()}
-    assert again[0].extra is not None and again[1].extra is None
+    assert all("_record" in r[k]["_rescued"] and r[k]["shape"] is None for k in (4, 5, 6)) and json.loads(r[7]["shape"]) == [["a", "{deep:[s|w|{b:f}]}"]]
+    again = {x.n - 2: x for x in drift.replay(t, {"extra": ("odd",), "place_id": ("place_id", "odd2")}, {"extra": "json", "place_id": "text"}).collect()}
+    assert again[0].extra == '{"a":[1]}' and again[1].extra is None and again[0]["_rescued"] is None
+    assert again[-2].place_id == "x" and json.loads(again[-2]["_rescued"]) == {"odd2": 5, "location.floor": {"n": 2}} and again[2]["_rescued"] == r[2]["_rescued"]
 
 
 def test_drift_ingest_loses_no_value(spark):
@@ -290,7 +322,7 @@ def test_drift_ingest_loses_no_value(spark):
         '{"schema_version": 2.0, "rating_n": "1e3"}',
         '{"schema_version": 1e30, "rating_n": "9007199254740993"}',
     ]
-    r = {x.n: x for x in drift.ingest(spark.createDataFrame(list(enumerate(recs)), "n int, record string")).collect()}
+    r = {x.n: x for x in drift.ingest(spark.createDataFrame(list(enumerate(recs)), "n int, record string"), names=MORE, kinds=KINDS).collect()}
     left = {n: json.loads(x["_rescued"]) if x["_rescued"] else None for n, x in r.items()}
     assert (r[0].place_id, r[0].schema_version) == ("A", 1) and left[0] == {"id": "B", "version": 2}
     assert (r[1].place_id, r[1].schema_version) == ("A", 2) and left[1] == {"schema_version": "two"}
