@@ -1,32 +1,32 @@
 """Problem 6: the same real event in two agendas that share no key.
 
-Records are normalised once each (show names, ensemble word, venue core) and
-grouped into classes of equal records, so copies are compared once. Candidates
-share the start date and a prefix or suffix of a show name, or hold names that
-differ by no more slips than ``same_word`` allows, found by what is left of
-both names after as many deletions. On each candidate
-heuristic matching functions vote +1, -1 or 0 on title and venue; equal vote
-patterns are counted by partial aggregation, and a generative label model is
-fitted to the pattern counts (at most 3 to the number of functions, whatever
-the number of candidates): expectation maximisation learns how often each
-function is right on matches and on others and how far functions repeat one
-another, and repeated evidence is weighted down. A pair's confidence is the
-posterior of its pattern.
+Titles and venues are reduced to words. How telling a word is comes from the
+two agendas themselves: its number of titles (or venues), where a misspelt word
+counts as often as the word it was meant to be, so no list of common words is
+needed. Candidates share the start date and one of the ``KEYS`` most telling
+words of both titles, but for the slips that ``same_word`` allows; words within
+slips of each other are found over the whole vocabulary by what is left of both
+after as many deletions. On each candidate heuristic matching functions vote
++1, -1 or 0 on title and venue, or have nothing to vote on; equal vote patterns are counted by partial
+aggregation, and a generative label model is fitted to the pattern counts (at
+most 4 to the number of functions, whatever the number of candidates):
+expectation maximisation learns from ``PRIORS`` how often each function is right
+on matches and on others, and how far functions repeat one another, and
+repeated evidence is weighted down. A pair's confidence is the posterior of its
+pattern, and the posterior alone decides.
 
 Defined cases: records without readable date or without any word in the title match
-nothing; a title of words for kinds and circumstances alone ("Visita guiada") has
-all its words, particles aside, for names and matches only as a whole; a missing venue abstains, so show and date decide, while
-two venues, or two shows, that contradict each other are never the same event; repeated captures
+nothing; a missing venue abstains, so show and date decide; repeated captures
 of an event give one pair; null titles match nothing; empty tables give no
 rows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
-import math
 import re
 import unicodedata
 from collections.abc import Mapping
+from datetime import timedelta
 from functools import lru_cache
 from zlib import crc32
 
@@ -38,81 +38,31 @@ from pyspark.sql import types as T
 
 from mobilake.functions import instants as I
 
-# Words that name the kind or circumstances of a show, not the show.
-GENRES = frozenset(
-    """
-    ballet danza baile concierto musica directo vivo humor monologo teatro teatral obra taller curso breve charla conferencia
-    encuentro exposicion muestra cuentacuentos cuentos familia partido amistoso gira otono primavera verano invierno ciclo plazas
-    abiertas programa doble funcion especial version reducida edicion segunda primera tercera temporada noche blanco proyeccion
-    cine infantil estreno sesion visita guiada toda todos para con sin por del de la el los las en un una y a al su
-    """.split()
-)
-# Words that tell no title from another.
-PARTICLES = frozenset("con sin por para del de la el los las en un una y a al su".split())
-# Words for the company or form that goes before a show's own names.
-ENSEMBLES = frozenset("orquesta cuarteto grupo compania club los las danzas noches cuentos memorias atlas viaje misterio".split())
-# Kinds of venue, their short forms, and rooms.
-VENUE_KINDS = frozenset(
-    """
-    teatro tto t auditorio aud biblioteca bib bibl b centro ctro cultural cult cc c museo m mus sala s cine pabellon pab p polideportivo
-    espacio esp jardin jardines jard j palacio pal deportes dep d estadio est e club nuevo nueva madrid patio principal pequena de del
-    la el los las o
-    """.split()
-)
-FUNCTIONS = ("names", "names_exact", "title_grams", "initial", "ensemble", "venue", "venue_exact", "venue_grams")
+KEYS = 3  # most telling words of a title that candidates are found by
+BLOCK = 2_000  # records of one date and word that one task pairs
+# Functions with the chances of voting +1, 0, -1 on matches and on other candidates that the model starts from.
+PRIORS = {
+    "telling": ((0.985, 0.01, 0.005), (0.20, 0.05, 0.75)),
+    "share": ((0.90, 0.09, 0.01), (0.15, 0.25, 0.60)),
+    "grams": ((0.85, 0.13, 0.02), (0.15, 0.35, 0.50)),
+    "initial": ((0.95, 0.01, 0.04), (0.20, 0.01, 0.79)),
+    "venue": ((0.94, 0.05, 0.01), (0.05, 0.10, 0.85)),
+    "venue_grams": ((0.85, 0.13, 0.02), (0.05, 0.25, 0.70)),
+}
+NONE = 9  # a function that has nothing to vote on
+FUNCTIONS = tuple(PRIORS)
 
 
 def plain(text: str | None) -> str:
-    """Lower case without accents; other signs than letters, digits and .()- become spaces."""
+    """Lower case without accents."""
     t = unicodedata.normalize("NFD", (text or "").lower())
-    t = "".join(c for c in t if not unicodedata.combining(c))
-    return re.sub(r"\s+", " ", re.sub(r"[^a-z0-9.()\- ]+", " ", t)).strip()
-
-
-def show(title: str | None) -> tuple[tuple[str, ...], str, str]:
-    """(own names sorted, initials, ensemble word) of a title; without own names all its words stand for them."""
-    words = re.findall(r"[a-z0-9]+", plain(title))
-    ensemble = next((w for w in words if w in ENSEMBLES), "")
-    names = sorted({w for w in words if len(w) >= 3 and w not in GENRES and w not in ENSEMBLES})
-    initials = "".join(sorted({w for w in words if len(w) == 1 and w not in "aye" and f"{w}." in plain(title)}))
-    return tuple(names) or content(title), initials, ensemble
-
-
-def content(title: str | None) -> tuple[str, ...]:
-    """All words of a title but particles, sorted; the particles if there is nothing else."""
-    words = set(re.findall(r"[a-z0-9]+", plain(title))) or set(re.findall(r"[^\W_]+", (title or "").lower()))
-    return tuple(sorted(words - PARTICLES or words))
-
-
-@lru_cache(maxsize=50_000)
-def _kind(word: str, slipped: bool) -> bool:
-    """Whether a word names no show by itself; ``slipped``: or is such a word but for slips."""
-    if len(word) < 3 or word in GENRES or word in ENSEMBLES:
-        return True
-    return slipped and any(same_word(word, w) for k in slips(word) for w in _kinds_by_slip().get(k, ()))
-
+    return "".join(c for c in t if not unicodedata.combining(c))
 
-@lru_cache(maxsize=1)
-def _kinds_by_slip() -> dict[int, list[str]]:
-    out: dict[int, list[str]] = {}
-    for w in GENRES | ENSEMBLES:
-        for k in slips(w):
-            out.setdefault(k, []).append(w)
-    return out
-
-
-def generic(names: tuple[str, ...], slipped: bool = False) -> bool:
-    """Whether a title has no own name, so that these are all its words."""
-    return all(_kind(w, slipped) for w in names)
 
-
-def venue_core(name: str | None) -> tuple[str, ...]:
-    """The words of a venue's own name: no kind, room, city, district or brackets."""
-    t = re.sub(r"\([^)]*\)", " ", plain(name)).split(" - ")[0]
-    for part in re.split(r"\.\s+", t):
-        if core := sorted({w for w in re.findall(r"[a-z0-9]+", part) if w not in VENUE_KINDS}):
-            return tuple(core)
-    return ()
+def words_of(text: str | None) -> tuple[str, ...]:
+    """Distinct words, sorted; a single letter before a full stop keeps it, as it stands for a longer word."""
+    t = plain(text)
+    return tuple(sorted({w if len(w) > 1 or end != "." else f"{w}." for w, end in re.findall(r"([^\W_]+)(\.?)", t)}))
 
 
 @lru_cache(maxsize=200_000)
@@ -142,12 +92,20 @@ def same_word(a: str, b: str, long: int = 6) -> bool:
     return most > 0 and distance(*sorted((a, b)), most) <= most
 
 
+def shortened(a: str, b: str) -> bool:
+    """Whether one word is a short form of the other: its first letter and others of it, in order, at most four."""
+    a, b = sorted((a.rstrip("."), b.rstrip(".")), key=len)
+    if not a or len(a) > 4 or len(a) == len(b) or a[0] != b[0]:
+        return False
+    rest = iter(b)
+    return all(c in rest for c in a)
+
+
 # Words longer than DELETED are found by runs of RUN letters instead: two slips touch at most
 # four letters in two places, which leaves a run of RUN untouched in every word from DELETED - 3 on.
 DELETED, RUN = 26, 7
 
 
-@lru_cache(maxsize=50_000)
 def slips(word: str) -> tuple[int, ...]:
     """Hashed keys of a word: any two words that ``same_word`` takes for one share a key."""
     out: set[str] = set()
@@ -162,85 +120,99 @@ def slips(word: str) -> tuple[int, ...]:
     return tuple({crc32(k.encode()) for k in out})
 
 
-def _matched(a: tuple[str, ...], b: tuple[str, ...], long: int = 6) -> int:
-    left, n = list(b), 0
-    for x in a:
-        hit = x if x in left else next((y for y in left if same_word(x, y, long)), None)
+Words = tuple[tuple[str, float], ...]  # words with their weight, most telling first
+
+
+@lru_cache(maxsize=100_000)
+def matched(a: Words, b: Words, short: bool = False) -> tuple[bool, ...]:
+    """For each word of a whether b has it, but for slips (and short forms); no word of b serves twice."""
+    left = [w for w, _ in b]
+    out = []
+    for x, _ in a:
+        hit = x if x in left else next((y for y in left if same_word(x, y) or (short and shortened(x, y))), None)
         if hit is not None:
             left.remove(hit)
-            n += 1
-    return n
+        out.append(hit is not None)
+    return tuple(out)
+
+
+def _share(a: Words, b: Words, short: bool = False) -> float:
+    """Weight of the words in common, of the title or venue that has less of it."""
+    def part(x: Words, y: Words) -> float:
+        return sum(w for (_, w), h in zip(x, matched(x, y, short)) if h) / max(1e-9, sum(w for _, w in x))
+
+    return max(part(a, b), part(b, a))
 
 
 @lru_cache(maxsize=100_000)
-def _grams(words: tuple[str, ...]) -> frozenset[str]:
-    return frozenset(w[i : i + 3] for w in words for i in range(max(1, len(w) - 2)))
+def _grams(words: Words) -> dict[str, float]:
+    out: dict[str, float] = {}
+    for w, weight in words:
+        for i in range(max(1, len(w) - 2)):
+            out[w[i : i + 3]] = max(out.get(w[i : i + 3], 0.0), weight)
+    return out
 
 
-def _gram_vote(a: tuple[str, ...], b: tuple[str, ...], high: float, low: float) -> int:
+def _gram_vote(a: Words, b: Words, high: float, low: float) -> int:
     x, y = _grams(a), _grams(b)
-    j = len(x & y) / max(1, min(len(x), len(y)))
+    both = sum(min(w, y[g]) for g, w in x.items() if g in y)
+    j = both / max(1e-9, min(sum(x.values()), sum(y.values())))
     return 1 if j >= high else -1 if j <= low else 0
 
 
-def votes(l_names, l_init, l_ens, l_venue, r_names, r_init, r_ens, r_venue, l_words=(), r_words=()) -> tuple[int, ...]:  # noqa: ANN001
-    """Votes of FUNCTIONS on one candidate; words: all words of a title that may have no own name."""
-    hit = _matched(l_names, r_names)
-    fewer = min(len(l_names), len(r_names))
-    initial = 0
-    if hit >= 1 and (l_init or r_init):
-        init, other, mine = (l_init, r_names, l_names) if l_init else (r_init, l_names, r_names)
-        rest = [w for w in other if not any(same_word(w, m) for m in mine)]
-        initial = 1 if any(w[0] in init for w in rest) or (l_init and l_init == r_init) else -1
+@lru_cache(maxsize=200_000)
+def title_votes(a: Words, b: Words) -> tuple[int, ...]:
+    """Votes of telling, share, grams and initial, the last where a title has one."""
+    x, y = matched(a, b), matched(b, a)
+    top = max(sum(h[:2]) - min(2, len(h)) for h in (x, y))
+    share = _share(a, b)
+    initial = NONE
+    for mine, other, own, hits in ((a, b, x, y), (b, a, y, x)):
+        letters = {w[0] for w, _ in mine if len(w) == 2 and w.endswith(".")}
+        full = [h for (w, _), h in zip(mine, own) if not w.endswith(".")]
+        if letters and full and full[0]:
+            rest = [w for (w, _), h in zip(other, hits) if not h]
+            initial = 1 if any(w[0] in letters for w in rest[:2]) else -1
     if initial == 1:
-        names = 1
-    elif hit >= 2 or (fewer == 1 and hit == 1 and max(len(l_names), len(r_names)) == 1):
-        names = 1
-    else:
-        names = -1
-    grams = _gram_vote(l_names, r_names, 0.6, 0.35)
-    if generic(l_names) or generic(r_names):
-        a, b = l_words or l_names, r_words or r_names
-        names = grams = 1 if len(a) == len(b) == _matched(a, b) else -1
-        initial = 0
-    exact = 1 if l_names == r_names else 0
-    ensemble = 0 if not l_ens or not r_ens else 1 if l_ens == r_ens else -1
-    venue = v_exact = v_grams = 0
-    if l_venue and r_venue:
-        n = _matched(l_venue, r_venue, 6)
-        venue = 1 if n == min(len(l_venue), len(r_venue)) else -1
-        v_exact = 1 if l_venue == r_venue else 0
-        v_grams = _gram_vote(l_venue, r_venue, 0.6, 0.3)
-    return names, exact, grams, initial, ensemble, venue, v_exact, v_grams
-
-
-def fit(patterns: Mapping[tuple[int, ...], int], rounds: int = 60, prior: float = 0.8) -> dict[tuple[int, ...], float]:
+        top, share = 0, max(share, 0.8)
+    return 1 if top == 0 else -1, 1 if share >= 0.8 else -1 if share <= 0.6 else 0, _gram_vote(a, b, 0.65, 0.45), initial
+
+
+@lru_cache(maxsize=200_000)
+def venue_votes(a: Words, b: Words) -> tuple[int, ...]:
+    """Votes of venue and venue_grams; none where either is missing."""
+    if not a or not b:
+        return NONE, NONE
+    share = _share(a, b, True)
+    return 1 if share >= 0.8 else -1 if share <= 0.6 else 0, _gram_vote(a, b, 0.7, 0.5)
+
+
+def fit(patterns: Mapping[tuple[int, ...], int], rounds: int = 60, priors: Mapping[str, tuple] = PRIORS, held: float = 0.5) -> dict[tuple[int, ...], float]:
     """Posterior of a match for each vote pattern: latent class model by expectation maximisation.
 
-    Parameters start from ``prior`` accuracy and keep it as pseudo-counts.
-    After fitting, the class-conditional correlations of the functions give
-    each a weight below one, so that functions that repeat one another do not
-    count as independent evidence.
+    Parameters start from ``priors`` and keep them as pseudo-counts (``held``
+    of the candidates, and two hundred more). After some rounds the class-conditional
+    correlations of the functions give each a weight below one, so that
+    functions that repeat one another do not count as independent evidence.
+    A function with nothing to vote on counts neither way.
     """
     if not patterns:
         return {}
     p = np.array(list(patterns), dtype=int)
     n = np.array([patterns[tuple(x)] for x in p.tolist()], dtype=float)
-    k = p.shape[1]
-    onehot = np.stack([p == v for v in (-1, 0, 1)], axis=2).astype(float)
-    strength = 0.02 * n.sum() + 2
-    base = np.array([[[1 - prior, 0.35, prior]], [[prior, 0.35, 1 - prior]]]) * np.ones((2, k, 1))
-    base /= base.sum(axis=2, keepdims=True)
-    theta, share, weight = base.copy(), 0.2, np.ones(k)
+    onehot = np.stack([p == v for v in (1, 0, -1)], axis=2).astype(float)
+    strength = held * n.sum() + 200
+    base = np.array([[list(x[c]) for x in priors.values()] for c in (0, 1)])
+    theta, share, weight = base.copy(), 0.3, np.full(p.shape[1], 0.6)
     for i in range(rounds):
         ll = np.einsum("pkv,ckv,k->pc", onehot, np.log(theta), weight) + np.log([share, 1 - share])
         q = 1 / (1 + np.exp(np.clip(ll[:, 1] - ll[:, 0], -500, 500)))
-        share = float(np.clip((q @ n) / n.sum(), 1e-6, 1 - 1e-6))
+        share = float((q @ n + 0.3 * strength) / (n.sum() + strength))
         for c, w in enumerate((q * n, (1 - q) * n)):
             counts = np.einsum("p,pkv->kv", w, onehot) + strength * base[c]
             theta[c] = counts / counts.sum(axis=1, keepdims=True)
         if i >= 5:
-            weight = 1 / (1 + _overlap(p, n, q))
+            weight = 1 / (1 + _overlap(np.where(p == NONE, 0, p), n, q))
     return {tuple(x): float(v) for x, v in zip(p.tolist(), q)}
 
 
@@ -248,7 +220,7 @@ def _overlap(p: np.ndarray, n: np.ndarray, q: np.ndarray) -> np.ndarray:
     """Sum of squared class-conditional correlations of each function with the others."""
     out = np.zeros(p.shape[1])
     for w in (q * n, (1 - q) * n):
-        if w.sum() <= 0:
+        if w.sum() <= 1:
             continue
         m = (w @ p) / w.sum()
         d = p - m
@@ -258,24 +230,11 @@ def _overlap(p: np.ndarray, n: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.clip(out, 0, None)
 
 
-_RECORD = T.StructType().add("names", T.ArrayType(T.StringType())).add("initials", T.StringType()).add("ensemble", T.StringType()).add("venue", T.ArrayType(T.StringType())).add("keys", T.ArrayType(T.StringType())).add("words", T.ArrayType(T.StringType()))
-
-
-def _keys(names: tuple[str, ...]) -> list[str]:
-    return sorted({k for w in names for k in (f"^{w[:4]}", f"{w[-4:]}$")})
-
-
-@F.arrow_udf(_RECORD)
-def _normal(title: pa.Array, venue: pa.Array) -> pa.Array:
-    rows = []
-    for t, v in zip(title.to_pylist(), venue.to_pylist()):
-        names, init, ens = show(t)
-        # a kind of show that is misspelt looks like a name, so those titles keep all their words too
-        words = content(t) if generic(names, slipped=True) else ()
-        rows.append((list(names), init, ens, list(venue_core(v)), _keys((*names, *words)), list(words)))
-    cols = list(zip(*rows)) if rows else [(), (), (), (), (), ()]
-    text = pa.list_(pa.string())
-    return pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(cols, (text, pa.string(), pa.string(), text, text, text))], names=["names", "initials", "ensemble", "venue", "keys", "words"])
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def _words(text: pa.Array) -> pa.Array:
+    enc = text.combine_chunks().dictionary_encode() if isinstance(text, pa.ChunkedArray) else text.dictionary_encode()
+    memo = [list(words_of(t)) for t in enc.dictionary.to_pylist()]
+    return pa.array([memo[i] if i is not None else [] for i in enc.indices.to_pylist()], pa.list_(pa.string()))
 
 
 @F.arrow_udf(T.ArrayType(T.LongType()))
@@ -289,63 +248,103 @@ def _same_word(a: pa.Array, b: pa.Array) -> pa.Array:
 
 
 @F.arrow_udf(T.ArrayType(T.ByteType()))
-def _votes(a: pa.Array, b: pa.Array) -> pa.Array:
-    out = []
-    for x, y in zip(a.to_pylist(), b.to_pylist()):
-        out.append(votes(*(v if isinstance(v, str) else tuple(v) for r in (x, y) for v in (r["names"], r["initials"], r["ensemble"], r["venue"])), tuple(x["words"]), tuple(y["words"])))
-    return pa.array(out, pa.list_(pa.int8()))
+def _votes(lt: pa.Array, rt: pa.Array, lv: pa.Array, rv: pa.Array) -> pa.Array:
+    of = lambda a: [tuple((x["w"], x["n"]) for x in r) for r in a.to_pylist()]
+    return pa.array([title_votes(a, b) + venue_votes(c, d) for a, b, c, d in zip(of(lt), of(rt), of(lv), of(rv))], pa.list_(pa.int8()))
 
 
 def madrid_date(df: DataFrame, text: str, to: str, zone: str = "Europe/Madrid") -> DataFrame:
     """df plus the local date a text denotes; skipped and repeated times keep the date they were written with."""
-    d = df.withColumns({"__i": I.to_instant(F.col(text), F.lit(zone)), "__w": I.parse_local(F.col(text))})
-    local = F.convert_timezone(F.lit("UTC"), F.lit(zone), I.from_epoch_us(F.col("__i.utc_us"))).cast("date")
-    written = F.when(F.col("__i.status").isin("skipped", "repeated"), I.from_epoch_us(F.col("__w.wall_us")).cast("date"))
-    return d.withColumn(to, F.coalesce(local, written)).drop("__i", "__w")
 
-
-def records(df: DataFrame, key: str, title: Column, venue: Column, date: Column, store=lambda df: df) -> tuple[DataFrame, DataFrame]:  # noqa: ANN001
-    """(members: key and class; classes: class, date and the normalised record).
-
-    ``store`` keeps the normalised records, which both results read.
+    @F.arrow_udf(T.DateType())
+    def date(texts: pa.Array) -> pa.Array:
+        enc = texts.combine_chunks().dictionary_encode() if isinstance(texts, pa.ChunkedArray) else texts.dictionary_encode()
+        days = []
+        for t in enc.dictionary.to_pylist():
+            form, wall, _, _ = I.parse_text(t)
+            status, us = I.instant_of(t, zone)
+            day = None
+            if status in ("skipped", "repeated"):
+                day = (I.aware(0) + timedelta(microseconds=wall)).date()
+            elif us is not None:
+                try:
+                    day = I.aware(us).astimezone(I.zone_of(zone)).date()
+                except OverflowError:
+                    day = None
+            days.append(day)
+        return pa.array([days[i] if i is not None else None for i in enc.indices.to_pylist()], pa.date32())
+
+    return df.withColumn(to, date(F.col(text).cast("string")))
+
+
+def records(df: DataFrame, key: str, title: Column, venue: Column, date: Column) -> DataFrame:
+    """(key, date, title words, venue words) of the records that can match, once each."""
+    d = df.select(F.col(key).alias("key"), date.alias("date"), _words(title).alias("title"), _words(venue).alias("venue"))
+    return d.where(F.col("key").isNotNull() & F.col("date").isNotNull() & (F.size("title") > 0)).distinct()
+
+
+def _near_words(vocabulary: DataFrame) -> DataFrame:
+    """(w, u): words of the vocabulary (word, n) that are one but for slips, each with itself as well."""
+    k = vocabulary.select("word", F.explode(_slips(F.col("word"))).alias("k"))
+    a, b = k.select(F.col("word").alias("w"), "k"), k.select(F.col("word").alias("u"), "k")
+    apart = a.join(b, "k").where("w < u").select("w", "u").distinct().where(_same_word(F.col("w"), F.col("u")))
+    return apart.unionByName(apart.select(F.col("u").alias("w"), F.col("w").alias("u"))).unionByName(vocabulary.select(F.col("word").alias("w"), F.col("word").alias("u")))
+
+
+def _weighed(lists: DataFrame, vocabulary: DataFrame, near: DataFrame, total: int) -> DataFrame:
+    """(words, weighed): each distinct list with its words and weights, most telling first.
+
+    A word's weight is the square of the logarithm of how rare it is; a
+    misspelt word is as common as the commonest word it may stand for.
     """
-    d = df.select(F.col(key).alias("key"), date.alias("date"), _normal(title, venue).alias("r")).where(F.col("key").isNotNull() & F.col("date").isNotNull() & (F.size("r.names") > 0))
-    d = d.withColumn("cls", F.xxhash64("date", F.array_join("r.names", " "), F.lit("|"), "r.initials", F.lit("|"), "r.ensemble", F.lit("|"), F.array_join("r.venue", " "), F.lit("|"), F.array_join("r.words", " ")))
-    d = store(d)
-    return d.select("key", "cls").distinct(), d.groupBy("cls").agg(F.first("date").alias("date"), F.first("r").alias("r"))
-
-
-def _misspelt(lc: DataFrame, rc: DataFrame) -> DataFrame:
-    """(lcls, lr, rcls, rr) of classes of one date that share no key but hold names that are one word by ``same_word``."""
-    names = lambda c, x: c.select(F.col("cls").alias(f"{x}cls"), "date", F.col("r").alias(f"{x}r"), F.explode("r.names").alias(f"{x}w"))
-    a, b = names(lc, "l"), names(rc, "r")
-    words = lambda d, w: d.select("date", w).distinct().select("date", w, F.explode(_slips(F.col(w))).alias("k"))
-    # names with the same first or last letters share a key already
-    apart = (F.substring("lw", 1, 4) != F.substring("rw", 1, 4)) & (F.substring("lw", -4, 4) != F.substring("rw", -4, 4))
-    near = words(a, "lw").join(words(b, "rw"), ["date", "k"]).where(apart).select("date", "lw", "rw").distinct().where(_same_word(F.col("lw"), F.col("rw")))
-    pairs = near.join(a, ["date", "lw"]).join(b, ["date", "rw"]).where(~F.arrays_overlap("lr.keys", "rr.keys"))
-    return pairs.select("lcls", "lr", "rcls", "rr").dropDuplicates(["lcls", "rcls"])
+    common = near.join(vocabulary.select(F.col("word").alias("u"), "n"), "u").groupBy("w").agg(F.max("n").alias("n"))
+    e = lists.select("words", F.explode("words").alias("w")).join(common, "w")
+    weight = F.pow(F.log(F.lit(float(total) + 1.0) / F.col("n")) + 0.1, 2)
+    by = e.groupBy("words").agg(F.sort_array(F.collect_list(F.struct((-weight).alias("o"), F.col("w"))), True).alias("x"))
+    return by.select("words", F.transform("x", lambda x: F.struct(x["w"].alias("w"), (-x["o"]).alias("n"))).alias("weighed"))
 
 
-def link(left: tuple[DataFrame, DataFrame], right: tuple[DataFrame, DataFrame], store=lambda df: df, least: float = 0.5) -> DataFrame:  # noqa: ANN001
+def link(left: DataFrame, right: DataFrame, store=lambda df, name: df, least: float = 0.5, block: int = BLOCK) -> DataFrame:  # noqa: ANN001
     """(left_key, right_key, confidence) of all pairs with a confidence of at least ``least``.
 
-    ``store`` keeps the voted candidates for the two passes over them.
+    left, right: see ``records``. ``store`` keeps tables that are read more
+    than once. Titles, venues and classes of equal records are handled once
+    each, however many records bear them.
     """
-    (lm, lc), (rm, rc) = left, right
-    a = lc.select(F.col("cls").alias("lcls"), "date", F.col("r").alias("lr"), F.explode("r.keys").alias("k"))
-    b = rc.select(F.col("cls").alias("rcls"), "date", F.col("r").alias("rr"), F.explode("r.keys").alias("k"))
-    # a pair is kept only under the first key it shares, so that no distinct is needed
-    first = F.get(F.array_intersect("lr.keys", "rr.keys"), F.lit(0)) == F.col("k")
-    cand = a.join(b, ["date", "k"]).where(first).select("lcls", "lr", "rcls", "rr").unionByName(_misspelt(lc, rc))
-    cand = store(cand.select("lcls", "rcls", _votes(F.col("lr"), F.col("rr")).alias("v")))
-    counts = {tuple(r["v"]): r["n"] for r in cand.groupBy("v").agg(F.count(F.lit(1)).alias("n")).collect()}
+    left, right = store(left, "left"), store(right, "right")
+    both = left.select("date", "title", "venue").unionByName(right.select("date", "title", "venue"))
+
+    def weighed(c: str, name: str) -> tuple[DataFrame, DataFrame]:
+        lists = store(both.select(F.col(c).alias("words")).where(F.size("words") > 0).distinct(), f"{name}-lists")
+        v = store(lists.select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")), f"{name}-words")
+        near = store(_near_words(v), f"{name}-near")
+        return store(_weighed(lists, v, near, lists.count()), name), near
+
+    (titles, near), (venues, _) = weighed("title", "titles"), weighed("venue", "venues")
+
+    def classes(d: DataFrame, x: str) -> DataFrame:
+        c = d.select("date", "title", "venue").distinct()
+        c = c.join(titles.select(F.col("words").alias("title"), F.col("weighed").alias("t")), "title").join(venues.select(F.col("words").alias("venue"), F.col("weighed").alias("v")), "venue", "left")
+        none = F.array().cast("array<struct<w:string,n:double>>")
+        return store(c.select("date", F.xxhash64("title", "venue").alias(f"{x}c"), F.col("t").alias(f"{x}t"), F.coalesce("v", none).alias(f"{x}v")), f"{x}-classes")
+
+    lc, rc = classes(left, "l"), classes(right, "r")
+    keys = lambda c, x: c.select("date", f"{x}c", F.explode(F.transform(F.slice(f"{x}t", 1, KEYS), lambda y: y["w"])).alias("k"))
+    a = keys(lc, "l").join(near.select(F.col("w").alias("k"), "u"), "k").select("date", "lc", F.col("u").alias("k")).distinct()
+    b = keys(rc, "r")
+    # a date and word with many records is split: one side spread over parts, the other copied to each
+    hot = a.groupBy("date", "k").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > block).select("date", "k", F.ceil(F.col("m") / block).cast("int").alias("parts"))
+    part = lambda d: d.join(hot, ["date", "k"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    a = part(a).withColumn("part", F.pmod(F.xxhash64("lc"), F.col("parts")).cast("int")).drop("parts")
+    b = part(b).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    pairs = a.join(b, ["date", "k", "part"]).select("date", "lc", "rc").distinct()
+    cand = pairs.join(lc, ["date", "lc"]).join(rc, ["date", "rc"])
+    cand = store(cand.select("date", "lc", "rc", _votes("lt", "rt", "lv", "rv").alias("vote")), "candidates")
+    counts = {tuple(r["vote"]): r["n"] for r in cand.groupBy("vote").agg(F.count(F.lit(1)).alias("n")).collect()}
     posterior = fit(counts)
     table = [x for k, v in posterior.items() if v >= least for x in (F.lit(",".join(map(str, k))), F.lit(v))]
-    score = F.try_element_at(F.create_map(*table), F.array_join(F.col("v").cast("array<string>"), ",")) if table else F.lit(None).cast("double")
-    # the exact check after the model: venues or shows that contradict each other are two events
-    vote = lambda name: F.get("v", F.lit(FUNCTIONS.index(name)))
-    agree = (vote("venue") != -1) & ((vote("names") != -1) | (vote("title_grams") == 1))
-    pairs = cand.where(agree).withColumn("confidence", score).where(F.col("confidence").isNotNull())
-    out = pairs.join(lm.withColumnsRenamed({"key": "left_key", "cls": "lcls"}), "lcls").join(rm.withColumnsRenamed({"key": "right_key", "cls": "rcls"}), "rcls")
-    return out.groupBy("left_key", "right_key").agg(F.max("confidence").alias("confidence"))
+    score = F.try_element_at(F.create_map(*table), F.array_join(F.col("vote").cast("array<string>"), ",")) if table else F.lit(None).cast("double")
+    hits = cand.select("date", "lc", "rc", score.alias("confidence")).where(F.col("confidence").isNotNull())
+    keyed = lambda d, x: d.select("date", F.xxhash64("title", "venue").alias(f"{x}c"), F.col("key").alias(f"{x}k"))
+    out = hits.join(keyed(left, "l"), ["date", "lc"]).join(keyed(right, "r"), ["date", "rc"])
+    return out.groupBy(F.col("lk").alias("left_key"), F.col("rk").alias("right_key")).agg(F.max("confidence").alias("confidence"))

@@ -43,9 +43,9 @@ def p6_matches(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of the same event in both agendas with a confidence, by venue, title and date alone."""
     r = spark.read.parquet(f"{d}/agenda_recintos.parquet")
     e = linkage.madrid_date(spark.read.parquet(f"{d}/agenda_eventos.parquet").select("event_id", "title", "start_datetime", "location"), "start_datetime", "date")
-    left = linkage.records(r, "event_id", F.col("title"), F.col("venue_name"), F.try_to_date(F.col("start_datetime"), "yyyy-MM-dd"), store=lambda df: cut(df, "left-records"))
-    right = linkage.records(e, "event_id", F.col("title"), F.col("location.venue_name"), F.col("date"), store=lambda df: cut(df, "right-records"))
-    out = linkage.link(left, right, store=lambda df: cut(df, "candidates"))
+    left = linkage.records(r, "event_id", F.col("title"), F.col("venue_name"), F.try_to_date(F.col("start_datetime"), "yyyy-MM-dd"))
+    right = linkage.records(e, "event_id", F.col("title"), F.col("location.venue_name"), F.col("date"))
+    out = linkage.link(left, right, store=cut)
     return out.select(F.col("left_key").alias("recinto_event_id"), F.col("right_key").alias("evento_event_id"), "confidence")
 
 
