@@ -94,7 +94,7 @@ def parse_text(text: str | None) -> tuple[str | None, int | None, int | None, st
 
 
 @lru_cache(maxsize=4096)
-def _zone(name: str) -> ZoneInfo | None:
+def zone_of(name: str) -> ZoneInfo | None:
     try:
         return ZoneInfo(name)
     except Exception:  # noqa: BLE001 - whatever the text says, it names no zone
@@ -103,7 +103,7 @@ def _zone(name: str) -> ZoneInfo | None:
 
 def resolve_wall(wall_us: int, zone: str) -> tuple[str, int | None]:
     """Wall clock in a zone -> (ok | skipped | repeated | invalid, utc_us)."""
-    tz = _zone(zone)
+    tz = zone_of(zone)
     if tz is None:
         return ("invalid", None)
     try:
