@@ -115,7 +115,7 @@ def pack(items: DataFrame, key: str, size: str, capacity: int = 4096) -> DataFra
     d = d.withColumn("__size", F.least(F.lit(capacity).cast("bigint"), F.col("__n") - F.col("__piece") * capacity))
     hist = {r[0]: r[1] for r in d.groupBy("__size").agg(F.count(F.lit(1)).alias("n")).collect()}
     patterns = pack_histogram({k: v for k, v in hist.items() if k > 0}, capacity)
-    starts, ranks, firsts, per = _intervals(patterns)
+    table = items.sparkSession.sparkContext.broadcast(_intervals(patterns))  # as long as the patterns, whatever the number of items
 
     salts = {k: -(-v // GROUP_ROWS) for k, v in hist.items() if v > GROUP_ROWS}
     salt = F.lit(0).cast("bigint")
@@ -134,6 +134,7 @@ def pack(items: DataFrame, key: str, size: str, capacity: int = 4096) -> DataFra
     @F.arrow_udf(T.LongType())
     def container(length: pa.Array, rank: pa.Array) -> pa.Array:
         n, r = length.to_numpy(zero_copy_only=False), rank.to_numpy(zero_copy_only=False).astype(np.int64)
+        starts, ranks, firsts, per = table.value
         i = np.searchsorted(starts, n.astype(np.int64) << 44 | r, side="right") - 1
         return pa.array(np.where(n > 0, firsts[i] + (r - ranks[i]) // per[i], 0), pa.int64())
 

@@ -25,8 +25,9 @@ def p9_packed(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    """Documents that had to be divided between containers."""
-    return p9_packed(spark, d).where((F.col("pieces") > 1) & (F.col("piece") == 0)).select("doc_id")
+    """Documents whose pieces the packer put into more than one container: those it had to divide."""
+    ends = p9_packed(spark, d).groupBy("doc_id").agg(F.min("container").alias("first"), F.max("container").alias("last"))
+    return ends.where("first < last").select("doc_id")
 
 
 def p10_shares(spark: SparkSession, d: str) -> DataFrame:
