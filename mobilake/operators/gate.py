@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from mobilake.functions import times
 from mobilake.functions.numbers import in_range
+from mobilake.session import cut
 
 
 @dataclass(frozen=True)
@@ -78,18 +79,22 @@ def with_reasons(df: DataFrame, rules: Sequence[Rule], to: str = "reasons") -> D
 
 
 def split(df: DataFrame, rules: Sequence[Rule], unique: str | None = None, order: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
-    """(valid, rejected with reasons). ``unique``: of otherwise valid rows only the first by ``order`` stays.
+    """(valid, rejected with reasons). ``unique``: of otherwise valid rows of one key exactly one stays, the first by ``order``.
 
-    Repeats are found by the least order value of each key, so a key with a
-    third of all rows is a partial aggregate and not a sorted group. [T7, W5]
+    Ties (also all rows, where there is no order) are broken by a hash of the
+    row, and equal rows by a number of their place in the input. The kept row
+    is the least of these per key, found by a partial aggregate, so a key with a
+    third of all rows is no sorted group. Rows whose key is null are one key. [T7, W5]
     """
     judged = with_reasons(df, rules)
     if unique:
-        fine = judged.where(F.size("reasons") == 0)
-        first = fine.groupBy(F.col(unique).alias("__k")).agg(F.min(F.struct(*order)).alias("__first"))
-        joined = judged.join(first, F.col(unique) == F.col("__k"), "left")
-        again = (F.size("reasons") == 0) & (F.struct(*order) != F.col("__first"))
-        judged = joined.withColumn("reasons", F.when(again, F.array(F.lit("duplicate_exact_content"))).otherwise(F.col("reasons"))).drop("__k", "__first")
+        row = F.xxhash64(*[F.to_json(F.struct(F.col(f"`{c}`"))) for c in df.columns])
+        judged = cut(judged.withColumn("__place", F.struct(*[F.col(c) for c in order], row.alias("__row"), F.monotonically_increasing_id().alias("__at"))), "judged")
+        fine = F.size("reasons") == 0
+        first = judged.where(fine).groupBy(F.col(unique).alias("__k")).agg(F.min("__place").alias("__first"))
+        joined = judged.join(first, F.col(unique).eqNullSafe(F.col("__k")), "left")
+        again = fine & (F.col("__place") != F.col("__first"))
+        judged = joined.withColumn("reasons", F.when(again, F.array(F.lit("duplicate_exact_content"))).otherwise(F.col("reasons"))).drop("__k", "__first", "__place")
     return judged.where(F.size("reasons") == 0).drop("reasons"), judged.where(F.size("reasons") > 0)
 
 

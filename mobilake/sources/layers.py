@@ -19,9 +19,14 @@ def write_partitions(df: DataFrame, path: str, keys: Sequence[str], files_rows:
     out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("maxRecordsPerFile", files_rows).partitionBy(*keys).parquet(path)
 
 
-def append_bronze(df: DataFrame, path: str, moment: Column) -> None:
-    """Landed records as JSON lines under fecha= and hora= of the moment. [K1]"""
-    df.withColumns({"fecha": F.date_format(moment, "yyyy-MM-dd"), "hora": F.date_format(moment, "HH")}).write.mode("append").partitionBy("fecha", "hora").json(path)
+def append_bronze(df: DataFrame, path: str, moment: Column, batch: str) -> None:
+    """Landed records as JSON lines under fecha=, hora= and the batch of the moment; a replayed batch replaces its own files and no others. [K1]
+
+    Spark writes under hidden names that become visible when the job is
+    committed, so a reader sees a batch whole or not at all.
+    """
+    keys = {"fecha": F.date_format(moment, "yyyy-MM-dd"), "hora": F.date_format(moment, "HH"), "lote": F.lit(batch)}
+    df.withColumns(keys).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).json(path)
 
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType, where: Column | None = None) -> DataFrame:

@@ -24,6 +24,19 @@ def test_gate_keeps_reasons_and_first_of_repeats(spark):
     assert {r.reason: r.rows for r in gate.reason_counts(bad).collect()} == {"k_missing": 2, "v_out_of_range": 2, "duplicate_exact_content": 1}
 
 
+def test_gate_keeps_exactly_one_row_of_a_key(spark):
+    same = ("a", "2026-01-01")
+    df = spark.createDataFrame([same, same, same, ("a", "2026-01-02"), (None, "x"), (None, "x"), ("b", None)], "h string, at string").repartition(3)
+    for order in ([], ["at"]):
+        good, bad = gate.split(df, [], unique="h", order=order)
+        assert sorted((r.h or "") for r in good.collect()) == ["", "a", "b"] and bad.count() == 4
+        assert {tuple(r.reasons) for r in bad.collect()} == {("duplicate_exact_content",)}
+    good, _ = gate.split(df, [], unique="h", order=["at"])
+    assert good.where("h = 'a'").first().at == "2026-01-01"
+    good, bad = gate.split(df.limit(0), [], unique="h")
+    assert good.count() == 0 and bad.count() == 0
+
+
 def test_quality_report_on_nothing_and_on_nulls(spark):
     schema = "a string, v double, w double"
     suite = [quality.not_null("a"), quality.between("v", 0, 1), quality.in_set("a", ["x"]), quality.matches("a", "^x"), quality.unique("a"), quality.pair_at_least(F.col("v"), F.col("w"), "v>=w")]
@@ -140,8 +153,10 @@ def test_layers_replace_only_touched_partitions(spark, tmp_path):
     assert sorted(tuple(r) for r in layers.read_table(spark, path, schema).collect()) == [(2, "2025-01-02", "__sin_medida__"), (3, "2025-01-01", "09")]
     only = layers.read_table(spark, path, schema, F.col("fecha") == "2025-01-01")
     assert only.count() == 1 and "PartitionFilters: [isnotnull(fecha" in only._jdf.queryExecution().executedPlan().toString()
-    layers.append_bronze(spark.createDataFrame([(1,)], "a int"), str(tmp_path / "b"), F.lit("2025-01-01 07:00:00").cast("timestamp_ntz"))
-    assert spark.read.json(str(tmp_path / "b")).first().hora == "07"
+    moment = F.lit("2025-01-01 07:00:00").cast("timestamp_ntz")
+    for batch, rows in (("one", [(1,)]), ("two", [(2,)]), ("one", [(1,)])):  # the first batch is landed twice
+        layers.append_bronze(spark.createDataFrame(rows, "a int"), str(tmp_path / "b"), moment, batch)
+    assert sorted((r.a, r.hora) for r in spark.read.json(str(tmp_path / "b")).collect()) == [(1, "07"), (2, "07")]
     layers.register(spark, "t_view", path, schema)
     assert spark.sql("select count(*) c from t_view").first().c == 2
     layers.write_report(quality.report(df, [quality.not_null("v")]), str(tmp_path / "r"))
@@ -200,16 +215,35 @@ def test_marts_on_small_batches(spark):
 
 
 def test_stream_equals_batch_and_late_rows(spark, tmp_path):
-    landed, silver, gold, check = (str(tmp_path / x) for x in ("landed", "silver", "gold", "check"))
+    landed, silver, gold, check, bad = (str(tmp_path / x) for x in ("landed", "silver", "gold", "check", "bad"))
     first = spark.createDataFrame([_traffic(spark, 7), _traffic(spark, 8, v=50)], TRAFFIC)
     late = spark.createDataFrame([_traffic(spark, 7, v=300), _traffic(spark, 7)], TRAFFIC)  # a late row and a replayed one
     for batch in (first, late):
         batch.coalesce(1).write.mode("append").parquet(landed)
-        hourly.land(hourly.file_stream(spark, landed, batch.schema), specs.MARTS["trafico"], silver, gold, check, "now").awaitTermination()
+        hourly.land(hourly.file_stream(spark, landed, batch.schema), specs.MARTS["trafico"], silver, gold, check, "now", bad).awaitTermination()
     got = {r.hour: (r.samples_count, r.avg_intensity_vph) for r in spark.read.parquet(gold).collect()}
-    assert got == {7: (2, 200.0), 8: (1, 50.0)}
-    hourly.land(hourly.file_stream(spark, landed, first.schema), specs.MARTS["trafico"], silver, gold, check, "now").awaitTermination()
-    assert spark.read.parquet(silver).count() == 3
+    assert got == {7: (3, 500 / 3), 8: (1, 50.0)}  # equal rows of two batches are two readings
+    hourly.land(hourly.file_stream(spark, landed, first.schema), specs.MARTS["trafico"], silver, gold, check, "now", bad).awaitTermination()
+    assert spark.read.parquet(silver).count() == 4
+    # rejected rows are kept with their reasons; a batch of them alone changes nothing else
+    spark.createDataFrame([_traffic(spark, 7, v=-5)], TRAFFIC).coalesce(1).write.mode("append").parquet(landed)
+    hourly.land(hourly.file_stream(spark, landed, first.schema), specs.MARTS["trafico"], silver, gold, check, "now", bad).awaitTermination()
+    assert [(r.reasons, '"intensity_vph":-5' in r.record) for r in spark.read.parquet(bad).collect()] == [(["intensity_vph_out_of_range"], True)]
+    assert spark.read.parquet(silver).count() == 4
+
+
+POST = "schema_version int, source string, mode string, match_term string, post_hash string, text string, lang string, created_at string, captured_at string, like_count int, repost_count int, reply_count int, quote_count int"
+
+
+def test_stream_keeps_one_row_of_each_post(spark, tmp_path):
+    landed, silver, gold, check, bad = (str(tmp_path / x) for x in ("landed", "silver", "gold", "check", "bad"))
+    post = lambda h, at: (1, "s", "bajo_demanda", "sol", h, "x", "es", "2026-08-15T07:05:00+02:00", at, 1, 0, 0, 0)
+    for rows in ([post("a", "2026-08-15T08:00:00+02:00"), post("a", "2026-08-15T08:10:00+02:00"), post("b", "2026-08-15T08:00:00+02:00")], [post("a", "2026-08-15T09:00:00+02:00"), post("c", "2026-08-15T09:00:00+02:00")]):
+        df = spark.createDataFrame(rows, POST)
+        df.coalesce(1).write.mode("append").parquet(landed)
+        hourly.land(hourly.file_stream(spark, landed, df.schema), specs.MARTS["bluesky_menciones"], silver, gold, check, "now", bad).awaitTermination()
+    assert sorted(r.post_hash for r in spark.read.parquet(silver).collect()) == ["a", "b", "c"]
+    assert [r.reasons for r in spark.read.parquet(bad).collect()] == [["duplicate_exact_content"]] * 2
 
 
 NOISE = "station_id string, station_name string, district string, neighbourhood string, period string, period_name string, measured_date string, ingested_at string, laeq_db double, l1_db double, l10_db double, l50_db double, l90_db double, l99_db double, location struct<lat:double,lon:double,altitude_m:int>"
@@ -217,11 +251,11 @@ NOISE = "station_id string, station_name string, district string, neighbourhood
 
 def test_stream_trailing_week_sees_late_days(spark, tmp_path):
     row = lambda d, v: ("s", "n", None, None, "D", "d", d, "2026-08-20T09:00:00+02:00", v, None, None, None, None, None, None)
-    landed, silver, gold, check = (str(tmp_path / x) for x in ("landed", "silver", "gold", "check"))
+    landed, silver, gold, check, bad = (str(tmp_path / x) for x in ("landed", "silver", "gold", "check", "bad"))
     for batch in ([row("2026-08-03", 60.0), row("2026-08-05", 70.0), row("2026-08-12", 50.0)], [row("2026-08-04", 80.0)]):
         df = spark.createDataFrame(batch, NOISE)
         df.coalesce(1).write.mode("append").parquet(landed)
-        hourly.land(hourly.file_stream(spark, landed, df.schema), specs.MARTS["ruido"], silver, gold, check, "now").awaitTermination()
+        hourly.land(hourly.file_stream(spark, landed, df.schema), specs.MARTS["ruido"], silver, gold, check, "now", bad).awaitTermination()
     got = {r.date: (r.laeq_rolling_7d_avg_db, r.laeq_rolling_7d_days) for r in spark.read.parquet(gold).collect()}
     assert got == {"2026-08-03": (60.0, 1), "2026-08-04": (70.0, 2), "2026-08-05": (70.0, 3), "2026-08-12": (50.0, 1)}
 
