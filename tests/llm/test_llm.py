@@ -265,3 +265,20 @@ def test_stuffing_share_is_whole_on_either_side_of_a_half():
     for _ in range(60):
         t = "\n".join(rnd.choices(pieces, k=rnd.randrange(1, 6)))
         assert (stuffing.share(t) > 0.5) == (stuffing.share(t, full=False) > 0.5)
+
+
+def test_links_are_found_in_one_pass():
+    import time
+
+    t = 'x <a href="u">one <b>two</b></a><br/> [m](http://a.b/c_(d)) www.e.f [url=g]h[/url] https://i.j/k <a l> no end //m.n'
+    assert [t[a:b] for a, b in stuffing.links(t)] == ['<a href="u">one <b>two</b></a><br/>', "[m](http://a.b/c_(d))", "www.e.f", "[url=g]h[/url]", "https://i.j/k", "//m.n"]
+    for piece in ("<a x>y ", "<a x", "[url]z ", "[a](x", "[", "[url", "//", "</a>", "<a x>y</a>", "](", "#", "...x", "www."):
+        start = time.perf_counter()
+        stuffing.share(piece * (1_000_000 // len(piece)))
+        assert time.perf_counter() - start < 15, piece
+
+
+def test_found_documents_come_from_containers(spark):
+    df = spark.createDataFrame([(1, 4096), (2, 4097), (3, 0), (4, None), (5, 9000), (6, 100)], "doc_id bigint, n int")
+    ends = packing.pack(df, "doc_id", "n", 4096).groupBy("doc_id").agg(F.min("container").alias("a"), F.max("container").alias("b")).where("a < b")
+    assert {r.doc_id for r in ends.collect()} == {2, 5}
