@@ -111,3 +111,28 @@ def days_between(first: Column, last: Column) -> Column:
 def day_kind(date: Column, holidays: Column) -> Column:
     """laborable, sabado, domingo or festivo; holidays is an array of dates. [D17]"""
     return F.when(F.array_contains(holidays, date), "festivo").when(F.weekday(date) == 6, "domingo").when(F.weekday(date) == 5, "sabado").otherwise("laborable")
+
+
+def ntz_micros(c: Column) -> Column:
+    """Microseconds since 1970 of a wall clock, as if UTC."""
+    parts = F.unix_date(c.cast("date")).cast("bigint") * 86_400 + F.hour(c) * 3600 + F.minute(c) * 60
+    return parts * 1_000_000 + (F.extract(F.lit("SECOND"), c) * 1_000_000).cast("bigint")
+
+
+def forecast_base(text: Column) -> Column:
+    """'FORECAST time from 20260815' (with or without +hours behind) to that day's midnight; null otherwise. [D16]"""
+    day = F.regexp_extract(text, r"from\s+(\d{8})", 1)
+    return F.try_to_date(F.when(day != "", day), "yyyyMMdd").cast("timestamp_ntz")
+
+
+def reference_date(long_name: Column, units: Column) -> Column:
+    """The moment that model times count from: 'hours since 1900-01-01 00:00:00', else the date in the long name. [D16]"""
+    since = F.regexp_extract(units, r"since\s+(\d{4}-\d{2}-\d{2}(?:[T ]\d{2}:\d{2}(?::\d{2})?)?)", 1)
+    return F.coalesce(F.when(since != "", since).try_cast("timestamp_ntz"), forecast_base(long_name))
+
+
+def decode_time(value: Column, units: Column, base: Column) -> Column:
+    """base plus value in the unit that units begins with (seconds, minutes, hours or days; hours where there is none). [D16]"""
+    word = F.lower(F.regexp_extract(units, r"^\s*([A-Za-z]+)", 1))
+    seconds = F.when(word.startswith("sec"), 1).when(word.startswith("min"), 60).when(word.startswith("day"), 86_400).otherwise(3600)
+    return base + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), (value * seconds).cast("decimal(18,6)"))

@@ -61,3 +61,14 @@ def by_mode(mode: str, columns: Mapping[str, str]) -> Column:
     for m, c in columns.items():
         out = F.when(F.col(mode) == m, F.col(c)) if out is None else out.when(F.col(mode) == m, F.col(c))
     return out
+
+
+def latest_year(df: DataFrame, c: Column) -> DataFrame:
+    """Rows of the greatest year of c. [F16]"""
+    return latest_rows(df, F.year(c))
+
+
+def grouped_lists(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: Sequence[str], to: str) -> DataFrame:
+    """One row per key with its values as an array of structs, sorted by ``order``; the groups are those of a schedule or a route, not of a feed. [A19, O2, O3]"""
+    rows = F.sort_array(F.collect_list(F.struct(*order, *[v for v in values if v not in order])))
+    return df.groupBy(*keys).agg(F.transform(rows, lambda x: F.struct(*[x[v].alias(v) for v in values])).alias(to))

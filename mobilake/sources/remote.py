@@ -36,6 +36,16 @@ def with_retries(call: Callable[[float], bytes], retries: int, backoff: float, d
     raise ValueError("retries must be at least 1")
 
 
+def within_deadline(read: Callable[[int], bytes], seconds: float, block: int = 1 << 16, now: Callable[[], float] = time.monotonic) -> bytes:
+    """A body read block by block; a slow drip that outlives the deadline as a whole is a TimeoutError. [S6]"""
+    end, parts = now() + seconds, []
+    while part := read(block):
+        parts.append(part)
+        if now() > end:
+            raise TimeoutError(f"body not complete within {seconds:.0f} s")
+    return b"".join(parts)
+
+
 class Part(InputPartition):
     def __init__(self, url: str) -> None:
         self.url = url
@@ -55,7 +65,7 @@ class FeedReader(DataSourceReader):
 
         def call(left: float) -> bytes:
             with urllib.request.urlopen(req, timeout=left) as r:  # noqa: S310 - the caller names the feed
-                return r.read()
+                return within_deadline(r.read1 if hasattr(r, "read1") else r.read, left)
 
         return with_retries(call, int(self.o.get("retries", "3")), float(self.o.get("backoff", "2")), float(self.o.get("deadline", "120")))
 
