@@ -143,6 +143,18 @@ def encoder(spark: SparkSession, name: str = "byte_bpe_50k", folder: str = TOKEN
     return encode
 
 
+def decoder(spark: SparkSession, name: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> Callable[[Column], Column]:
+    """A Column function: token ids -> text; null ids give an empty text."""
+    vocab = _shared(spark, name, folder)
+
+    @F.arrow_udf(T.StringType())
+    def decode(ids: pa.Array) -> pa.Array:
+        bp = vocab()
+        return pa.array([bp.decode(x or []).decode("utf-8", "replace") for x in ids.to_pylist()], pa.string())
+
+    return decode
+
+
 def counter(spark: SparkSession, name: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> Callable[[Column], Column]:
     """A Column function: text -> bigint number of tokens; no ids leave the worker."""
     vocab = _shared(spark, name, folder)
