@@ -98,10 +98,12 @@ def _outside() -> Rule:
 
 
 def _renamed(df: DataFrame) -> DataFrame:
+    """[P5]"""
     return df.withColumnRenamed("captured_at", "ingested_at") if "captured_at" in df.columns else df
 
 
 def _traffic_silver(df: DataFrame) -> DataFrame:
+    """[M6, M11, M13]"""
     r = {"occupancy_ratio": numbers.ratio(F.col("occupancy_pct"), F.lit(100)), "load_ratio": numbers.ratio(F.col("load_pct"), F.lit(100)), "intensity_ratio": numbers.ratio(F.col("intensity_vph"), F.col("saturation_intensity_vph"))}
     return _keys(df.withColumns({k: numbers.half_even(v) for k, v in r.items()}), "measured_at")
 

@@ -1,4 +1,4 @@
-"""Parametrised answers over gold tables. [Q2-Q4]"""
+"""Parametrised answers over gold tables. [Q2-Q5]"""
 
 from __future__ import annotations
 
@@ -36,3 +36,12 @@ def free_parking(gold: DataFrame, zones: DataFrame) -> DataFrame:
     last = gold.groupBy("parking_id").agg(F.max_by(F.struct("avg_free_spaces", "total_spaces"), at).alias("x"), F.max(at).alias("at"))
     j = last.join(zones.select("parking_id", "zone").distinct(), "parking_id")
     return j.groupBy("zone").agg(F.sum("x.avg_free_spaces").alias("free_spaces"), F.sum("x.total_spaces").alias("total_spaces"), F.max("at").alias("as_of"))
+
+
+def events_around(events: DataFrame, place: DataFrame, metres: float, moment: Column | None = None) -> DataFrame:
+    """Events within so many metres of each place that start at or after a moment (all without one), with the distance. [Q5]
+
+    events: id, lat, lon, starts timestamp; place: id, lat, lon.
+    """
+    e = events if moment is None else events.where(F.col("starts") >= moment)
+    return stops_around(e, place, metres).withColumnRenamed("stop_id", "event_id")

@@ -102,7 +102,7 @@ def rolling_7d(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""SELECT ['lunes','martes','miercoles','jueves','viernes','sabado','domingo'][isodow(ts)] AS weekday, CAST(hour(ts) AS INTEGER) AS hour, count(*) AS samples_count, round(avg(value),9) AS avg_value FROM events GROUP BY ALL""")
 def weekday_profile(spark: SparkSession, d: str) -> DataFrame:
-    """[D13, A14]"""
+    """[D13]"""
     e = _t(spark, d, "events").withColumns({"weekday": times.weekday_name(F.col("ts")), "hour": F.hour("ts")})
     return rollup.rollup(e, ["weekday", "hour"], {"avg_value": _r(F.avg("value"))})
 
@@ -174,7 +174,7 @@ def _ruido_rules() -> list[gate.Rule]:
 
 @query(f"SELECT * FROM ({_RUIDO_GATE}) WHERE reasons<>''")
 def quality_gate(spark: SparkSession, d: str) -> DataFrame:
-    """[F1, F3, F6]"""
+    """[F1, F3]"""
     _, bad = gate.split(_t(spark, d, "ruido"), _ruido_rules())
     return bad.select("row_id", F.array_join("reasons", ",").alias("reasons"))
 
@@ -410,7 +410,7 @@ def decimal_comma(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT row_id, try_cast(precipitation_probability_pct AS DOUBLE) AS rain FROM aemet_prevision")
 def safe_cast(spark: SparkSession, d: str) -> DataFrame:
-    """[M1, M2]"""
+    """[M1]"""
     return _t(spark, d, "aemet_prevision").select("row_id", numbers.to_float(F.col("precipitation_probability_pct")).alias("rain"))
 
 
@@ -422,7 +422,7 @@ def iso_parse(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT strftime(timezone('Europe/Madrid', try_cast(ingested_at AS TIMESTAMPTZ)),'%Y-%m-%d') AS fecha, strftime(timezone('Europe/Madrid', try_cast(ingested_at AS TIMESTAMPTZ)),'%H') AS hora, count(*) AS rows FROM aforos_peatones_bicicletas GROUP BY ALL")
 def partition_keys(spark: SparkSession, d: str) -> DataFrame:
-    """[D10-D12, N3]"""
+    """[D10, D12, N3]"""
     k = times.local_clock(times.iso_instant(F.col("ingested_at")))
     return _t(spark, d, "aforos_peatones_bicicletas").groupBy(times.date_key(k).alias("fecha"), times.hour_key(k).alias("hora")).agg(F.count(F.lit(1)).alias("rows"))
 
@@ -435,7 +435,7 @@ def zfill_codes(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT vec_id, list_min(embedding) AS low, list_max(embedding) AS high, embedding[3] AS third FROM embeddings")
 def array_profile(spark: SparkSession, d: str) -> DataFrame:
-    """[C3, C4]"""
+    """[C4]"""
     x = arrays.extremes(F.array("embedding"))
     return _t(spark, d, "embeddings").select("vec_id", x["low"].alias("low"), x["high"].alias("high"), F.get("embedding", F.lit(2)).alias("third"))
 

@@ -93,13 +93,13 @@ def rejected_rows(spark: SparkSession, d: str) -> DataFrame:
 
 
 def expected_crowd(spark: SparkSession, d: str) -> DataFrame:
-    """Q1: typical and mean live crowding by place, weekday and hour."""
+    """[Q1] typical and mean live crowding by place, weekday and hour."""
     g = gold_afluencia(spark, d).withColumn("weekday", times.weekday_name(F.to_date("date")))
     return g.groupBy("place_id", "weekday", "hour").agg(F.round(F.avg("typical_pct"), 4).alias("typical_pct"), F.round(F.avg("avg_live_pct"), 4).alias("live_pct"))
 
 
 def noise_now(spark: SparkSession, d: str) -> DataFrame:
-    """Q2: latest plausible level of every station and period at or before a moment (here its last day)."""
+    """[Q2] for noise: latest plausible level of every station and period at or before a moment (here its last day)."""
     r = _t(spark, d, "ruido").withColumn("day", times.iso_date(F.col("measured_date"))).where(F.col("day").isNotNull() & F.col("laeq_db").between(20, 120))
     return r.groupBy("station_id", "period").agg(F.max_by("laeq_db", F.struct("day", F.col("laeq_db"))).alias("laeq_db"), F.date_format(F.max("day"), "yyyy-MM-dd").alias("day"))
 
@@ -108,7 +108,7 @@ SQL["noise_now"] = """SELECT station_id, period, max_by(laeq_db, (CAST(measured_
 
 
 def places_near_events(spark: SparkSession, d: str) -> DataFrame:
-    """Q5: places within 150 m of an event's venue, nearest first by distance."""
+    """[Q5] places within 150 m of an event's venue, nearest first by distance."""
     e = _t(spark, d, "agenda_eventos").select(F.concat(F.lit("e:"), F.col("event_id")).alias("id"), F.col("location.lat").alias("lat"), F.col("location.lon").alias("lon")).where(spatial.in_box(F.col("lat"), F.col("lon"), 39, 42, -5, -2))
     p = _t(spark, d, "poi_madrid").select(F.concat(F.lit("p:"), F.col("poi_id")).alias("id"), F.col("location.lat").alias("lat"), F.col("location.lon").alias("lon")).where(spatial.in_box(F.col("lat"), F.col("lon"), 39, 42, -5, -2))
     n = spatial.near(e.union(p), "id", F.col("lat"), F.col("lon"), 150.0)

@@ -21,7 +21,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 
 def with_retries(call: Callable[[float], bytes], retries: int, backoff: float, deadline: float, sleep: Callable[[float], None] = time.sleep) -> bytes:
-    """Result of call(seconds left); waits backoff * try between tries, gives up after the last one or the deadline."""
+    """Result of call(seconds left); waits backoff * try between tries, gives up after the last one or the deadline. [S1]"""
     end = time.monotonic() + deadline
     for k in range(1, retries + 1):
         left = end - time.monotonic()
@@ -52,6 +52,8 @@ class Part(InputPartition):
 
 
 class FeedReader(DataSourceReader):
+    """One partition per address (several endpoints or per-id calls side by side), with bodies, logins and wrapped addresses. [S2-S5]"""
+
     def __init__(self, options: dict) -> None:
         self.o = options
 

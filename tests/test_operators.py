@@ -287,6 +287,14 @@ def test_contracts(spark):
     assert [(x.place_id, x.stop_id) for x in contracts.stops_around(s, p, 100.0).collect()] == [("1", "1")]
 
 
+def test_events_around_a_place(spark):
+    e = spark.createDataFrame([("a", 40.4, -3.7, datetime(2026, 8, 15, 20)), ("b", 40.4005, -3.7, datetime(2026, 8, 14)), ("c", 41.0, -3.7, datetime(2026, 8, 16))], "id string, lat double, lon double, starts timestamp_ntz")
+    p = spark.createDataFrame([("sol", 40.4, -3.7001)], "id string, lat double, lon double")
+    moment = F.lit("2026-08-15 00:00:00").cast("timestamp_ntz")
+    assert {r.event_id for r in contracts.events_around(e, p, 500.0).collect()} == {"a", "b"}
+    assert {r.event_id for r in contracts.events_around(e, p, 500.0, moment).collect()} == {"a"}
+
+
 def test_hops_run_until_nothing_new(spark):
     e = spark.createDataFrame([(f"n{i:02d}", f"n{i + 1:02d}") for i in range(18)], "src string, dst string")
     start = spark.createDataFrame([("n00",)], "id string")
