@@ -26,19 +26,19 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Mapping
-from datetime import timedelta
 from functools import lru_cache
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from mobilake.functions import instants as I
 
-KEYS = 3  # most telling words of a title that candidates are found by
+KEYS = 2  # most telling words of a title that candidates are found by
 BLOCK = 2_000  # records of one date and word that one task pairs
 # Functions with the chances of voting +1, 0, -1 on matches and on other candidates that the model starts from.
 PRIORS = {
@@ -53,16 +53,18 @@ NONE = 9  # a function that has nothing to vote on
 FUNCTIONS = tuple(PRIORS)
 
 
+_MARKS, _WORD = re.compile(r"[\u0300-\u036f]"), re.compile(r"([^\W_]+)(\.?)")
+
+
 def plain(text: str | None) -> str:
     """Lower case without accents."""
-    t = unicodedata.normalize("NFD", (text or "").lower())
-    return "".join(c for c in t if not unicodedata.combining(c))
+    t = (text or "").lower()
+    return t if t.isascii() else _MARKS.sub("", unicodedata.normalize("NFD", t))
 
 
 def words_of(text: str | None) -> tuple[str, ...]:
     """Distinct words, sorted; a single letter before a full stop keeps it, as it stands for a longer word."""
-    t = plain(text)
-    return tuple(sorted({w if len(w) > 1 or end != "." else f"{w}." for w, end in re.findall(r"([^\W_]+)(\.?)", t)}))
+    return tuple(sorted({w if len(w) > 1 or end != "." else f"{w}." for w, end in _WORD.findall(plain(text))}))
 
 
 @lru_cache(maxsize=200_000)
@@ -84,12 +86,24 @@ def distance(a: str, b: str, most: int) -> int:
     return row[-1]
 
 
+@lru_cache(maxsize=200_000)
+def _letters(word: str) -> int:
+    """Which letters a word holds, as bits."""
+    bits = 0
+    for c in word:
+        bits |= 1 << (ord(c) % 61)
+    return bits
+
+
 def same_word(a: str, b: str, long: int = 6) -> bool:
     """Equal but for one slip of the pen, or two in words of at least ``long`` letters."""
     if a == b:
         return True
-    most = 2 if min(len(a), len(b)) >= long else 1 if min(len(a), len(b)) >= 4 else 0
-    return most > 0 and distance(*sorted((a, b)), most) <= most
+    short = min(len(a), len(b))
+    most = 2 if short >= long else 1 if short >= 4 else 0
+    if not most or abs(len(a) - len(b)) > most or (_letters(a) ^ _letters(b)).bit_count() > 2 * most:
+        return False  # a slip changes at most two letters
+    return distance(*sorted((a, b)), most) <= most
 
 
 def shortened(a: str, b: str) -> bool:
@@ -123,6 +137,12 @@ def slips(word: str) -> tuple[int, ...]:
 Words = tuple[tuple[str, float], ...]  # words with their weight, most telling first
 
 
+@lru_cache(maxsize=200_000)
+def read_words(text: str) -> Words:
+    """Words as the plan carries them: "word=weight" joined by spaces."""
+    return tuple((w, float(n)) for w, _, n in (x.rpartition("=") for x in text.split()))
+
+
 @lru_cache(maxsize=100_000)
 def matched(a: Words, b: Words, short: bool = False) -> tuple[bool, ...]:
     """For each word of a whether b has it, but for slips (and short forms); no word of b serves twice."""
@@ -161,8 +181,9 @@ def _gram_vote(a: Words, b: Words, high: float, low: float) -> int:
 
 
 @lru_cache(maxsize=200_000)
-def title_votes(a: Words, b: Words) -> tuple[int, ...]:
+def title_votes(left: str, right: str) -> tuple[int, ...]:
     """Votes of telling, share, grams and initial, the last where a title has one."""
+    a, b = read_words(left), read_words(right)
     x, y = matched(a, b), matched(b, a)
     top = max(sum(h[:2]) - min(2, len(h)) for h in (x, y))
     share = _share(a, b)
@@ -179,10 +200,11 @@ def title_votes(a: Words, b: Words) -> tuple[int, ...]:
 
 
 @lru_cache(maxsize=200_000)
-def venue_votes(a: Words, b: Words) -> tuple[int, ...]:
+def venue_votes(left: str | None, right: str | None) -> tuple[int, ...]:
     """Votes of venue and venue_grams; none where either is missing."""
-    if not a or not b:
+    if not left or not right:
         return NONE, NONE
+    a, b = read_words(left), read_words(right)
     share = _share(a, b, True)
     return 1 if share >= 0.8 else -1 if share <= 0.6 else 0, _gram_vote(a, b, 0.7, 0.5)
 
@@ -230,16 +252,18 @@ def _overlap(p: np.ndarray, n: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.clip(out, 0, None)
 
 
-@F.arrow_udf(T.ArrayType(T.StringType()))
+@F.arrow_udf(T.StringType())
 def _words(text: pa.Array) -> pa.Array:
+    """The words of a text, sorted and joined by spaces; empty for none."""
     enc = text.combine_chunks().dictionary_encode() if isinstance(text, pa.ChunkedArray) else text.dictionary_encode()
-    memo = [list(words_of(t)) for t in enc.dictionary.to_pylist()]
-    return pa.array([memo[i] if i is not None else [] for i in enc.indices.to_pylist()], pa.list_(pa.string()))
+    memo = pa.array([" ".join(words_of(t)) for t in enc.dictionary.to_pylist()] + [""], pa.string())
+    return memo.take(pc.fill_null(enc.indices, len(memo) - 1))
 
 
-@F.arrow_udf(T.ArrayType(T.LongType()))
+@F.arrow_udf(T.StructType().add("keys", T.ArrayType(T.LongType())).add("letters", T.LongType()))
 def _slips(word: pa.Array) -> pa.Array:
-    return pa.array([slips(w) for w in word.to_pylist()], pa.list_(pa.int64()))
+    words = word.to_pylist()
+    return pa.StructArray.from_arrays([pa.array([slips(w) for w in words], pa.list_(pa.int64())), pa.array([_letters(w) for w in words], pa.int64())], names=["keys", "letters"])
 
 
 @F.arrow_udf(T.BooleanType())
@@ -249,8 +273,8 @@ def _same_word(a: pa.Array, b: pa.Array) -> pa.Array:
 
 @F.arrow_udf(T.ArrayType(T.ByteType()))
 def _votes(lt: pa.Array, rt: pa.Array, lv: pa.Array, rv: pa.Array) -> pa.Array:
-    of = lambda a: [tuple((x["w"], x["n"]) for x in r) for r in a.to_pylist()]
-    return pa.array([title_votes(a, b) + venue_votes(c, d) for a, b, c, d in zip(of(lt), of(rt), of(lv), of(rv))], pa.list_(pa.int8()))
+    rows = zip(lt.to_pylist(), rt.to_pylist(), lv.to_pylist(), rv.to_pylist())
+    return pa.array([title_votes(a, b) + venue_votes(c, d) for a, b, c, d in rows], pa.list_(pa.int8()))
 
 
 def madrid_date(df: DataFrame, text: str, to: str, zone: str = "Europe/Madrid") -> DataFrame:
@@ -260,17 +284,19 @@ def madrid_date(df: DataFrame, text: str, to: str, zone: str = "Europe/Madrid")
     def date(texts: pa.Array) -> pa.Array:
         enc = texts.combine_chunks().dictionary_encode() if isinstance(texts, pa.ChunkedArray) else texts.dictionary_encode()
         days = []
+        zoned = I.zone_of(zone)
         for t in enc.dictionary.to_pylist():
-            form, wall, _, _ = I.parse_text(t)
-            status, us = I.instant_of(t, zone)
-            day = None
-            if status in ("skipped", "repeated"):
-                day = (I.aware(0) + timedelta(microseconds=wall)).date()
-            elif us is not None:
-                try:
-                    day = I.aware(us).astimezone(I.zone_of(zone)).date()
-                except OverflowError:
-                    day = None
+            form, wall, offset, region = I.parse_text(t)
+            status, us, day = form, None, None
+            if form in ("clock", "epoch"):
+                status, us = ("ok", wall - offset * 60_000_000) if offset is not None else I.resolve_wall(wall, region or zone)
+            try:
+                if us is not None:
+                    day = I.aware(us).astimezone(zoned).date()
+                elif status in ("skipped", "repeated"):
+                    day = I.aware(wall).date()
+            except OverflowError:
+                day = None
             days.append(day)
         return pa.array([days[i] if i is not None else None for i in enc.indices.to_pylist()], pa.date32())
 
@@ -278,30 +304,32 @@ def madrid_date(df: DataFrame, text: str, to: str, zone: str = "Europe/Madrid")
 
 
 def records(df: DataFrame, key: str, title: Column, venue: Column, date: Column) -> DataFrame:
-    """(key, date, title words, venue words) of the records that can match, once each."""
+    """(key, date, title, venue) of the records that can match, once each; title and venue as their words joined by spaces."""
     d = df.select(F.col(key).alias("key"), date.alias("date"), _words(title).alias("title"), _words(venue).alias("venue"))
-    return d.where(F.col("key").isNotNull() & F.col("date").isNotNull() & (F.size("title") > 0)).distinct()
+    return d.where(F.col("key").isNotNull() & F.col("date").isNotNull() & (F.col("title") != "")).distinct()
 
 
 def _near_words(vocabulary: DataFrame) -> DataFrame:
     """(w, u): words of the vocabulary (word, n) that are one but for slips, each with itself as well."""
-    k = vocabulary.select("word", F.explode(_slips(F.col("word"))).alias("k"))
-    a, b = k.select(F.col("word").alias("w"), "k"), k.select(F.col("word").alias("u"), "k")
-    apart = a.join(b, "k").where("w < u").select("w", "u").distinct().where(_same_word(F.col("w"), F.col("u")))
+    k = vocabulary.select("word", _slips(F.col("word")).alias("s")).select("word", "s.letters", F.explode("s.keys").alias("k"))
+    a, b = (k.select(F.col("word").alias(x), F.col("letters").alias(f"{x}l"), "k") for x in ("w", "u"))
+    # two slips change at most four letters and two in length
+    alike = (F.bit_count(F.col("wl").bitwiseXOR(F.col("ul"))) <= 4) & (F.abs(F.length("w") - F.length("u")) <= 2)
+    apart = a.join(b, "k").where("w < u").where(alike).select("w", "u").distinct().where(_same_word(F.col("w"), F.col("u")))
     return apart.unionByName(apart.select(F.col("u").alias("w"), F.col("w").alias("u"))).unionByName(vocabulary.select(F.col("word").alias("w"), F.col("word").alias("u")))
 
 
 def _weighed(lists: DataFrame, vocabulary: DataFrame, near: DataFrame, total: int) -> DataFrame:
-    """(words, weighed): each distinct list with its words and weights, most telling first.
+    """(words, weighed): each distinct text with its words and weights, most telling first.
 
     A word's weight is the square of the logarithm of how rare it is; a
     misspelt word is as common as the commonest word it may stand for.
     """
     common = near.join(vocabulary.select(F.col("word").alias("u"), "n"), "u").groupBy("w").agg(F.max("n").alias("n"))
-    e = lists.select("words", F.explode("words").alias("w")).join(common, "w")
+    e = lists.select("words", F.explode(F.split("words", " ")).alias("w")).join(common, "w")
     weight = F.pow(F.log(F.lit(float(total) + 1.0) / F.col("n")) + 0.1, 2)
-    by = e.groupBy("words").agg(F.sort_array(F.collect_list(F.struct((-weight).alias("o"), F.col("w"))), True).alias("x"))
-    return by.select("words", F.transform("x", lambda x: F.struct(x["w"].alias("w"), (-x["o"]).alias("n"))).alias("weighed"))
+    by = e.groupBy("words").agg(F.sort_array(F.collect_list(F.struct((-weight).alias("o"), F.col("w")))).alias("x"))
+    return by.select("words", F.array_join(F.transform("x", lambda x: F.concat(x["w"], F.lit("="), F.format_string("%.4f", -x["o"]))), " ").alias("weighed"), F.slice(F.transform("x", lambda x: x["w"]), 1, KEYS).alias("keys"))
 
 
 def link(left: DataFrame, right: DataFrame, store=lambda df, name: df, least: float = 0.5, block: int = BLOCK) -> DataFrame:  # noqa: ANN001
@@ -312,11 +340,11 @@ def link(left: DataFrame, right: DataFrame, store=lambda df, name: df, least: fl
     each, however many records bear them.
     """
     left, right = store(left, "left"), store(right, "right")
-    both = left.select("date", "title", "venue").unionByName(right.select("date", "title", "venue"))
+    both = left.select("title", "venue").unionByName(right.select("title", "venue"))
 
     def weighed(c: str, name: str) -> tuple[DataFrame, DataFrame]:
-        lists = store(both.select(F.col(c).alias("words")).where(F.size("words") > 0).distinct(), f"{name}-lists")
-        v = store(lists.select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")), f"{name}-words")
+        lists = store(both.select(F.col(c).alias("words")).where("words <> ''").distinct(), f"{name}-lists")
+        v = store(lists.select(F.explode(F.split("words", " ")).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")), f"{name}-words")
         near = store(_near_words(v), f"{name}-near")
         return store(_weighed(lists, v, near, lists.count()), name), near
 
@@ -324,27 +352,26 @@ def link(left: DataFrame, right: DataFrame, store=lambda df, name: df, least: fl
 
     def classes(d: DataFrame, x: str) -> DataFrame:
         c = d.select("date", "title", "venue").distinct()
-        c = c.join(titles.select(F.col("words").alias("title"), F.col("weighed").alias("t")), "title").join(venues.select(F.col("words").alias("venue"), F.col("weighed").alias("v")), "venue", "left")
-        none = F.array().cast("array<struct<w:string,n:double>>")
-        return store(c.select("date", F.xxhash64("title", "venue").alias(f"{x}c"), F.col("t").alias(f"{x}t"), F.coalesce("v", none).alias(f"{x}v")), f"{x}-classes")
-
-    lc, rc = classes(left, "l"), classes(right, "r")
-    keys = lambda c, x: c.select("date", f"{x}c", F.explode(F.transform(F.slice(f"{x}t", 1, KEYS), lambda y: y["w"])).alias("k"))
-    a = keys(lc, "l").join(near.select(F.col("w").alias("k"), "u"), "k").select("date", "lc", F.col("u").alias("k")).distinct()
-    b = keys(rc, "r")
+        return c.join(titles.select(F.col("words").alias("title"), "keys"), "title").select("date", F.col("title").alias(f"{x}t"), F.col("venue").alias(f"{x}v"), F.explode("keys").alias("k"))
+
+    a, b = store(classes(left, "l"), "l-keys"), store(classes(right, "r"), "r-keys")
+    # which words of a date meet is settled before any title is carried along
+    meet = a.select("date", F.col("k").alias("w")).distinct().join(near, "w").join(b.select("date", F.col("k").alias("u")).distinct(), ["date", "u"])
+    b = meet.join(b.withColumnRenamed("k", "u"), ["date", "u"]).select("date", F.col("w").alias("k"), "rt", "rv").distinct()
     # a date and word with many records is split: one side spread over parts, the other copied to each
     hot = a.groupBy("date", "k").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > block).select("date", "k", F.ceil(F.col("m") / block).cast("int").alias("parts"))
     part = lambda d: d.join(hot, ["date", "k"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    a = part(a).withColumn("part", F.pmod(F.xxhash64("lc"), F.col("parts")).cast("int")).drop("parts")
+    a = part(a).withColumn("part", F.pmod(F.xxhash64("lt", "lv"), F.col("parts")).cast("int")).drop("parts")
     b = part(b).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
-    pairs = a.join(b, ["date", "k", "part"]).select("date", "lc", "rc").distinct()
-    cand = pairs.join(lc, ["date", "lc"]).join(rc, ["date", "rc"])
-    cand = store(cand.select("date", "lc", "rc", _votes("lt", "rt", "lv", "rv").alias("vote")), "candidates")
+    cand = a.join(b, ["date", "k", "part"]).select("date", "lt", "lv", "rt", "rv").distinct()
+    word = lambda t, c, to: t.select(F.col("words").alias(c), F.col("weighed").alias(to))
+    cand = cand.join(word(titles, "lt", "a"), "lt").join(word(titles, "rt", "b"), "rt").join(word(venues, "lv", "c"), "lv", "left").join(word(venues, "rv", "d"), "rv", "left")
+    cand = store(cand.select("date", "lt", "lv", "rt", "rv", _votes("a", "b", "c", "d").alias("vote")), "candidates")
     counts = {tuple(r["vote"]): r["n"] for r in cand.groupBy("vote").agg(F.count(F.lit(1)).alias("n")).collect()}
     posterior = fit(counts)
     table = [x for k, v in posterior.items() if v >= least for x in (F.lit(",".join(map(str, k))), F.lit(v))]
     score = F.try_element_at(F.create_map(*table), F.array_join(F.col("vote").cast("array<string>"), ",")) if table else F.lit(None).cast("double")
-    hits = cand.select("date", "lc", "rc", score.alias("confidence")).where(F.col("confidence").isNotNull())
-    keyed = lambda d, x: d.select("date", F.xxhash64("title", "venue").alias(f"{x}c"), F.col("key").alias(f"{x}k"))
-    out = hits.join(keyed(left, "l"), ["date", "lc"]).join(keyed(right, "r"), ["date", "rc"])
+    hits = cand.select("date", "lt", "lv", "rt", "rv", score.alias("confidence")).where(F.col("confidence").isNotNull())
+    keyed = lambda d, x: d.select("date", F.col("title").alias(f"{x}t"), F.col("venue").alias(f"{x}v"), F.col("key").alias(f"{x}k"))
+    out = hits.join(keyed(left, "l"), ["date", "lt", "lv"]).join(keyed(right, "r"), ["date", "rt", "rv"])
     return out.groupBy(F.col("lk").alias("left_key"), F.col("rk").alias("right_key")).agg(F.max("confidence").alias("confidence"))
