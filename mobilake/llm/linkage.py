@@ -42,12 +42,12 @@ KEYS = 2  # most telling words of a title that candidates are found by
 BLOCK = 2_000  # records of one date and word that one task pairs
 # Functions with the chances of voting +1, 0, -1 on matches and on other candidates that the model starts from.
 PRIORS = {
-    "telling": ((0.985, 0.01, 0.005), (0.20, 0.05, 0.75)),
+    "telling": ((0.96, 0.035, 0.005), (0.15, 0.10, 0.75)),
     "share": ((0.90, 0.09, 0.01), (0.15, 0.25, 0.60)),
     "grams": ((0.85, 0.13, 0.02), (0.15, 0.35, 0.50)),
-    "initial": ((0.95, 0.01, 0.04), (0.20, 0.01, 0.79)),
-    "venue": ((0.94, 0.05, 0.01), (0.05, 0.10, 0.85)),
-    "venue_grams": ((0.85, 0.13, 0.02), (0.05, 0.25, 0.70)),
+    "initial": ((0.95, 0.01, 0.04), (0.50, 0.01, 0.49)),
+    "venue": ((0.94, 0.05, 0.01), (0.15, 0.10, 0.75)),
+    "venue_grams": ((0.85, 0.13, 0.02), (0.15, 0.20, 0.65)),
 }
 NONE = 9  # a function that has nothing to vote on
 FUNCTIONS = tuple(PRIORS)
@@ -185,7 +185,7 @@ def title_votes(left: str, right: str) -> tuple[int, ...]:
     """Votes of telling, share, grams and initial, the last where a title has one."""
     a, b = read_words(left), read_words(right)
     x, y = matched(a, b), matched(b, a)
-    top = max(sum(h[:2]) - min(2, len(h)) for h in (x, y))
+    ways = sum(all(h[:2]) for h in (x, y))  # sides whose most telling words the other has
     share = _share(a, b)
     initial = NONE
     for mine, other, own, hits in ((a, b, x, y), (b, a, y, x)):
@@ -195,8 +195,8 @@ def title_votes(left: str, right: str) -> tuple[int, ...]:
             rest = [w for (w, _), h in zip(other, hits) if not h]
             initial = 1 if any(w[0] in letters for w in rest[:2]) else -1
     if initial == 1:
-        top, share = 0, max(share, 0.8)
-    return 1 if top == 0 else -1, 1 if share >= 0.8 else -1 if share <= 0.6 else 0, _gram_vote(a, b, 0.65, 0.45), initial
+        ways, share = 2, max(share, 0.8)
+    return ways - 1, 1 if share >= 0.8 else -1 if share <= 0.6 else 0, _gram_vote(a, b, 0.65, 0.45), initial
 
 
 @lru_cache(maxsize=200_000)
