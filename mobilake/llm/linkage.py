@@ -40,6 +40,7 @@ from mobilake.functions import instants as I
 
 KEYS = 2  # most telling words of a title that candidates are found by
 BLOCK = 2_000  # records of one date and word that one task pairs
+KEPT = 20_000  # results that each cached function keeps, so that a worker does not grow with its rows
 # Functions with the chances of voting +1, 0, -1 on matches and on other candidates that the model starts from.
 PRIORS = {
     "telling": ((0.96, 0.035, 0.005), (0.15, 0.10, 0.75)),
@@ -67,7 +68,7 @@ def words_of(text: str | None) -> tuple[str, ...]:
     return tuple(sorted({w if len(w) > 1 or end != "." else f"{w}." for w, end in _WORD.findall(plain(text))}))
 
 
-@lru_cache(maxsize=200_000)
+@lru_cache(maxsize=KEPT)
 def distance(a: str, b: str, most: int) -> int:
     """Edits, a swap of neighbours counting once, up to ``most`` (then most + 1)."""
     if abs(len(a) - len(b)) > most:
@@ -86,7 +87,7 @@ def distance(a: str, b: str, most: int) -> int:
     return row[-1]
 
 
-@lru_cache(maxsize=200_000)
+@lru_cache(maxsize=KEPT)
 def _letters(word: str) -> int:
     """Which letters a word holds, as bits."""
     bits = 0
@@ -137,13 +138,13 @@ def slips(word: str) -> tuple[int, ...]:
 Words = tuple[tuple[str, float], ...]  # words with their weight, most telling first
 
 
-@lru_cache(maxsize=200_000)
+@lru_cache(maxsize=KEPT)
 def read_words(text: str) -> Words:
     """Words as the plan carries them: "word=weight" joined by spaces."""
     return tuple((w, float(n)) for w, _, n in (x.rpartition("=") for x in text.split()))
 
 
-@lru_cache(maxsize=100_000)
+@lru_cache(maxsize=KEPT)
 def matched(a: Words, b: Words, short: bool = False) -> tuple[bool, ...]:
     """For each word of a whether b has it, but for slips (and short forms); no word of b serves twice."""
     left = [w for w, _ in b]
@@ -164,7 +165,7 @@ def _share(a: Words, b: Words, short: bool = False) -> float:
     return max(part(a, b), part(b, a))
 
 
-@lru_cache(maxsize=100_000)
+@lru_cache(maxsize=KEPT)
 def _grams(words: Words) -> dict[str, float]:
     out: dict[str, float] = {}
     for w, weight in words:
@@ -180,7 +181,7 @@ def _gram_vote(a: Words, b: Words, high: float, low: float) -> int:
     return 1 if j >= high else -1 if j <= low else 0
 
 
-@lru_cache(maxsize=200_000)
+@lru_cache(maxsize=KEPT)
 def title_votes(left: str, right: str) -> tuple[int, ...]:
     """Votes of telling, share, grams and initial, the last where a title has one."""
     a, b = read_words(left), read_words(right)
@@ -199,7 +200,7 @@ def title_votes(left: str, right: str) -> tuple[int, ...]:
     return ways - 1, 1 if share >= 0.8 else -1 if share <= 0.6 else 0, _gram_vote(a, b, 0.65, 0.45), initial
 
 
-@lru_cache(maxsize=200_000)
+@lru_cache(maxsize=KEPT)
 def venue_votes(left: str | None, right: str | None) -> tuple[int, ...]:
     """Votes of venue and venue_grams; none where either is missing."""
     if not left or not right:
@@ -315,7 +316,7 @@ def _near_words(vocabulary: DataFrame) -> DataFrame:
     a, b = (k.select(F.col("word").alias(x), F.col("letters").alias(f"{x}l"), "k") for x in ("w", "u"))
     # two slips change at most four letters and two in length
     alike = (F.bit_count(F.col("wl").bitwiseXOR(F.col("ul"))) <= 4) & (F.abs(F.length("w") - F.length("u")) <= 2)
-    apart = a.join(b, "k").where("w < u").where(alike).select("w", "u").distinct().where(_same_word(F.col("w"), F.col("u")))
+    apart = a.join(b.hint("merge"), "k").where("w < u").where(alike).select("w", "u").distinct().where(_same_word(F.col("w"), F.col("u")))
     return apart.unionByName(apart.select(F.col("u").alias("w"), F.col("w").alias("u"))).unionByName(vocabulary.select(F.col("word").alias("w"), F.col("word").alias("u")))
 
 
@@ -325,8 +326,8 @@ def _weighed(lists: DataFrame, vocabulary: DataFrame, near: DataFrame, total: in
     A word's weight is the square of the logarithm of how rare it is; a
     misspelt word is as common as the commonest word it may stand for.
     """
-    common = near.join(vocabulary.select(F.col("word").alias("u"), "n"), "u").groupBy("w").agg(F.max("n").alias("n"))
-    e = lists.select("words", F.explode(F.split("words", " ")).alias("w")).join(common, "w")
+    common = near.join(vocabulary.select(F.col("word").alias("u"), "n").hint("merge"), "u").groupBy("w").agg(F.max("n").alias("n"))
+    e = lists.select("words", F.explode(F.split("words", " ")).alias("w")).join(common.hint("merge"), "w")
     weight = F.pow(F.log(F.lit(float(total) + 1.0) / F.col("n")) + 0.1, 2)
     by = e.groupBy("words").agg(F.sort_array(F.collect_list(F.struct((-weight).alias("o"), F.col("w")))).alias("x"))
     return by.select("words", F.array_join(F.transform("x", lambda x: F.concat(x["w"], F.lit("="), F.format_string("%.4f", -x["o"]))), " ").alias("weighed"), F.slice(F.transform("x", lambda x: x["w"]), 1, KEYS).alias("keys"))
@@ -337,7 +338,9 @@ def link(left: DataFrame, right: DataFrame, store=lambda df, name: df, least: fl
 
     left, right: see ``records``. ``store`` keeps tables that are read more
     than once. Titles, venues and classes of equal records are handled once
-    each, however many records bear them.
+    each, however many records bear them. Sides that grow with the records are
+    merged, never broadcast: Spark takes a stored table for as large as its
+    compressed file, also after its lists are exploded.
     """
     left, right = store(left, "left"), store(right, "right")
     both = left.select("title", "venue").unionByName(right.select("title", "venue"))
@@ -352,19 +355,19 @@ def link(left: DataFrame, right: DataFrame, store=lambda df, name: df, least: fl
 
     def classes(d: DataFrame, x: str) -> DataFrame:
         c = d.select("date", "title", "venue").distinct()
-        return c.join(titles.select(F.col("words").alias("title"), "keys"), "title").select("date", F.col("title").alias(f"{x}t"), F.col("venue").alias(f"{x}v"), F.explode("keys").alias("k"))
+        return c.join(titles.select(F.col("words").alias("title"), "keys").hint("merge"), "title").select("date", F.col("title").alias(f"{x}t"), F.col("venue").alias(f"{x}v"), F.explode("keys").alias("k"))
 
     a, b = store(classes(left, "l"), "l-keys"), store(classes(right, "r"), "r-keys")
     # which words of a date meet is settled before any title is carried along
-    meet = a.select("date", F.col("k").alias("w")).distinct().join(near, "w").join(b.select("date", F.col("k").alias("u")).distinct(), ["date", "u"])
-    b = meet.join(b.withColumnRenamed("k", "u"), ["date", "u"]).select("date", F.col("w").alias("k"), "rt", "rv").distinct()
+    meet = a.select("date", F.col("k").alias("w")).distinct().join(near.hint("merge"), "w").join(b.select("date", F.col("k").alias("u")).distinct().hint("merge"), ["date", "u"])
+    b = meet.join(b.withColumnRenamed("k", "u").hint("merge"), ["date", "u"]).select("date", F.col("w").alias("k"), "rt", "rv").distinct()
     # a date and word with many records is split: one side spread over parts, the other copied to each
     hot = a.groupBy("date", "k").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > block).select("date", "k", F.ceil(F.col("m") / block).cast("int").alias("parts"))
     part = lambda d: d.join(hot, ["date", "k"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     a = part(a).withColumn("part", F.pmod(F.xxhash64("lt", "lv"), F.col("parts")).cast("int")).drop("parts")
     b = part(b).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
-    cand = a.join(b, ["date", "k", "part"]).select("date", "lt", "lv", "rt", "rv").distinct()
-    word = lambda t, c, to: t.select(F.col("words").alias(c), F.col("weighed").alias(to))
+    cand = a.join(b.hint("merge"), ["date", "k", "part"]).select("date", "lt", "lv", "rt", "rv").distinct()
+    word = lambda t, c, to: t.select(F.col("words").alias(c), F.col("weighed").alias(to)).hint("merge")
     cand = cand.join(word(titles, "lt", "a"), "lt").join(word(titles, "rt", "b"), "rt").join(word(venues, "lv", "c"), "lv", "left").join(word(venues, "rv", "d"), "rv", "left")
     cand = store(cand.select("date", "lt", "lv", "rt", "rv", _votes("a", "b", "c", "d").alias("vote")), "candidates")
     counts = {tuple(r["vote"]): r["n"] for r in cand.groupBy("vote").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -372,6 +375,6 @@ def link(left: DataFrame, right: DataFrame, store=lambda df, name: df, least: fl
     table = [x for k, v in posterior.items() if v >= least for x in (F.lit(",".join(map(str, k))), F.lit(v))]
     score = F.try_element_at(F.create_map(*table), F.array_join(F.col("vote").cast("array<string>"), ",")) if table else F.lit(None).cast("double")
     hits = cand.select("date", "lt", "lv", "rt", "rv", score.alias("confidence")).where(F.col("confidence").isNotNull())
-    keyed = lambda d, x: d.select("date", F.col("title").alias(f"{x}t"), F.col("venue").alias(f"{x}v"), F.col("key").alias(f"{x}k"))
+    keyed = lambda d, x: d.select("date", F.col("title").alias(f"{x}t"), F.col("venue").alias(f"{x}v"), F.col("key").alias(f"{x}k")).hint("merge")
     out = hits.join(keyed(left, "l"), ["date", "lt", "lv"]).join(keyed(right, "r"), ["date", "rt", "rv"])
     return out.groupBy(F.col("lk").alias("left_key"), F.col("rk").alias("right_key")).agg(F.max("confidence").alias("confidence"))

@@ -58,7 +58,7 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 def p6_invariants(spark: SparkSession, d: str) -> DataFrame:
     """What must hold of the matches: pairs once each, ids that exist, confidences from a half to one."""
     m = cut(p6_matches(spark, d), "matches")
-    known = lambda t, c: spark.read.parquet(f"{d}/{t}.parquet").select(F.col("event_id").alias(c)).distinct()
+    known = lambda t, c: spark.read.parquet(f"{d}/{t}.parquet").select(F.col("event_id").alias(c)).distinct().hint("merge")
     strange = m.join(known("agenda_recintos", "recinto_event_id"), "recinto_event_id", "left_anti").select("confidence").unionByName(m.join(known("agenda_eventos", "evento_event_id"), "evento_event_id", "left_anti").select("confidence"))
     twice = m.groupBy("recinto_event_id", "evento_event_id").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
     n = lambda x, c: x.agg(F.count(F.lit(1)).alias("n")).select(F.lit(c).alias("fault"), "n")

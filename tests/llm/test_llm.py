@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from mobilake.llm import linkage, packing, stuffing, tokens
+from mobilake.session import cut
 
 TEXTS = ["", "Hola, ¿qué tal?", "don't  stop\n\n  it's 2025!!", "naïve 日本語 🚲🚲", "<|endoftext|> a", " \t ", "a" * 5000, "xyzzy" * 3000 + " fin", "áé́ñ   x", "1234567890 ½ ²"]
 
@@ -282,3 +283,24 @@ def test_found_documents_come_from_containers(spark):
     df = spark.createDataFrame([(1, 4096), (2, 4097), (3, 0), (4, None), (5, 9000), (6, 100)], "doc_id bigint, n int")
     ends = packing.pack(df, "doc_id", "n", 4096).groupBy("doc_id").agg(F.min("container").alias("a"), F.max("container").alias("b")).where("a < b")
     assert {r.doc_id for r in ends.collect()} == {2, 5}
+
+
+def test_linkage_broadcasts_no_table_that_grows_with_the_records(spark):
+    """A stored table of words is small as a file and many times as large once its keys are exploded."""
+    rnd = random.Random(15)
+    word = lambda: "".join(rnd.choice("bcdfglmnprst") + rnd.choice("aeiou") for _ in range(4))
+    rows = [(f"{i}", f"{word()} {word()}", f"Teatro {word()}", date(2025, 5, 1 + i % 9)) for i in range(300)]
+    d = spark.createDataFrame(rows, "event_id string, title string, venue string, day date")
+    rec = linkage.records(d, "event_id", F.col("title"), F.col("venue"), F.col("day"))
+    plans = []
+
+    def store(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return cut(df, name)
+
+    out = linkage.link(rec, rec, store=store)
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    joins = [x for p in plans for x in p.splitlines() if "Join" in x]
+    # only the few pairs of a date and a word that are split are left to Spark's size rule
+    assert len(joins) > 10 and all("SortMergeJoin" in x or ("LeftOuter" in x and "date#" in x) for x in joins), joins
+    assert {(r.left_key, r.right_key) for r in out.collect()} >= {(r[0], r[0]) for r in rows}
