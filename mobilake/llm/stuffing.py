@@ -1,10 +1,11 @@
 """Problem 10: pages of repeated keywords, link lists and product tags.
 
 A page's suffix automaton over its words gives, for every word, whether it
-lies in a maximal repeated run of words. A stretch of text counts as stuffing
+lies in a maximal repeated run of words: one of two words or more that occurs
+twice, or a word by itself that occurs three times. A stretch of text counts as stuffing
 when it has no clause structure (almost no function words of any supported
 language) and such stretches are mostly covered by repeats, or when a sentence
-names a keyword of the page (a word that makes up a good part of it) several times and is mostly covered by repeats
+names a keyword of the page (a word that makes up a good part of it) several times and is mostly covered by words that occur three times
 (keywords strung into sentences that say nothing else), or when neighbouring
 lines that end no sentence and hold no function words but prepositions,
 articles and conjunctions (keyword phrases with glue) repeat words among them
@@ -13,8 +14,8 @@ labels and hashtags count by themselves. A page is a case when more than half
 of its characters (white space aside) count.
 
 The automaton is built only where it can still add to the share: a word in a
-repeated run occurs as often by itself, so stretches without enough such words
-are out beforehand. Where only the cases are asked for (``full`` is false) it is
+repeated run occurs at least twice by itself, so stretches without enough such words
+are out beforehand; which of the others count, the runs alone decide. Where only the cases are asked for (``full`` is false) it is
 also left out when links, hashtags and all stretches that could count stay at
 or below half together, or links and hashtags are more than half alone; the
 share is then only on the right side of a half. Neither bound loses a case.
@@ -75,7 +76,8 @@ WORD = re.compile(r"[^\W_]+")
 STRETCH = re.compile(r"[^\n\r.!?…]+(?:[.!?…]+(?=\S)[^\n\r.!?…]+)*[.!?…]*|[.!?…]+")
 LEAST_CLAUSE = 0.06
 LEAST_COVER = 0.35
-LEAST_REPEATS = 3
+LEAST_REPEATS = 3  # of a word by itself
+RUN_REPEATS = 2  # of a run of words
 LEAST_KEYWORD, LEAST_KEYWORD_SHARE = 4, 0.06
 MANGLED = re.compile(r"[\u00c2\u00c3][\u0080-\u00bf\u0152\u0153\u0160\u0161\u0178\u017d\u017e\u0192\u02c6\u02dc\u2013-\u2122]")
 
@@ -124,8 +126,8 @@ class SuffixAutomaton:
                 return 0
         return self.count[s]
 
-    def covered(self, seq: list[int], least: int) -> list[bool]:
-        """Which positions lie in a maximal substring that occurs at least ``least`` times."""
+    def covered(self, seq: list[int], least: int, alone: int = 0) -> list[bool]:
+        """Which positions lie in a maximal substring that occurs at least ``least`` times, or ``alone`` times if it is of one element."""
         out, s, n = [False] * len(seq), 0, 0
         reach = []
         for c in seq:
@@ -137,7 +139,7 @@ class SuffixAutomaton:
                 s, n = t, n + 1
             else:
                 s, n = 0, 0
-            reach.append(n)
+            reach.append(n if n != 1 or self.count[s] >= alone else 0)
         left = 0
         for i in range(len(seq) - 1, -1, -1):
             left = max(left, reach[i])
@@ -273,33 +275,36 @@ def share(text: str | None, full: bool = True) -> float:
         return counted / total
     every = WORD.findall(plain.lower())
     count = Counter(every)
-    often = lambda words: sum(len(w) for w in words if count[w] >= LEAST_REPEATS)
+    often = lambda words, least: sum(len(w) for w in words if count[w] >= least)
     content = [[w for w in g if w not in CLAUSE_WORDS] for g in groups]
-    again = [a and often(g) >= LEAST_COVER * sum(map(len, g)) for a, g in zip(again, content)]
-    if bare and sum(often(w) for _, _, w in bare) < LEAST_COVER * sum(n for _, n, _ in bare):
+    again = [a and often(g, RUN_REPEATS) >= LEAST_COVER * sum(map(len, g)) for a, g in zip(again, content)]
+    if bare and sum(often(w, RUN_REPEATS) for _, _, w in bare) < LEAST_COVER * sum(n for _, n, _ in bare):
         bare = []
-    strung = [x for x in strung if (x[3] >= 0 and again[x[3]]) or often(x[2]) >= LEAST_COVER * x[1]]
-    if not (bare or strung):
-        return counted / total
-    codes: dict[str, int] = {}
-    seq = [codes.setdefault(w, len(codes)) for w in every]
-    automaton = SuffixAutomaton(seq)
+    keyword = max(LEAST_KEYWORD, LEAST_KEYWORD_SHARE * len(every))
+
+    def names_keyword(letters: int, words: list[str]) -> bool:
+        return often(words, LEAST_REPEATS) >= LEAST_COVER * letters and any(count[w] >= keyword for w in _repeated(words))
+
+    named = [names_keyword(n, w) for _, n, w, _ in strung]
+    if bare or any(again):
+        codes: dict[str, int] = {}
+        automaton = SuffixAutomaton([codes.setdefault(w, len(codes)) for w in every])
+
+    def hits(words: list[str]) -> list[bool]:
+        return automaton.covered([codes.get(w, -1) for w in words], RUN_REPEATS, LEAST_REPEATS)
 
     def cover(words: list[str]) -> int:
-        own = [codes.setdefault(w, len(codes)) for w in words]
-        return sum(len(w) for w, h in zip(words, automaton.covered(own, LEAST_REPEATS)) if h)
+        return sum(len(w) for w, h in zip(words, hits(words)) if h)
 
     def group_covered(words: list[str]) -> bool:
-        hits = automaton.covered([codes.get(w, -1) for w in words], LEAST_REPEATS)
-        content = [(len(w), h) for w, h in zip(words, hits) if w not in CLAUSE_WORDS]
+        content = [(len(w), h) for w, h in zip(words, hits(words)) if w not in CLAUSE_WORDS]
         return sum(n for n, h in content if h) >= LEAST_COVER * sum(n for n, _ in content)
 
     if bare and sum(cover(w) for _, _, w in bare) >= LEAST_COVER * sum(n for _, n, _ in bare):
         counted += sum(size for size, _, _ in bare)
     stuffed = [a and group_covered(g) for a, g in zip(again, groups)]
-    for size, letters, words, group in strung:
-        keyword = any(automaton.occurrences([codes[w]]) >= max(LEAST_KEYWORD, LEAST_KEYWORD_SHARE * len(seq)) for w in _repeated(words) if w in codes)
-        if (group >= 0 and stuffed[group]) or (keyword and cover(words) >= LEAST_COVER * letters):
+    for (size, _, _, group), keyed in zip(strung, named):
+        if keyed or (group >= 0 and stuffed[group]):
             counted += size
     return counted / total
 

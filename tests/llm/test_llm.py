@@ -304,3 +304,20 @@ def test_linkage_broadcasts_no_table_that_grows_with_the_records(spark):
     # only the few pairs of a date and a word that are split are left to Spark's size rule
     assert len(joins) > 10 and all("SortMergeJoin" in x or ("LeftOuter" in x and "date#" in x) for x in joins), joins
     assert {(r.left_key, r.right_key) for r in out.collect()} >= {(r[0], r[0]) for r in rows}
+
+
+def test_runs_of_words_decide_and_not_their_counts():
+    rnd = random.Random(17)
+    words = ["".join(rnd.choice("bcdfglmnprst") + rnd.choice("aeiou") for _ in range(3)) for _ in range(40)]
+    phrases = [" ".join(words[i : i + 4]) for i in range(0, 40, 4)]
+    twice = "\n".join(phrases + phrases[::-1])  # each phrase twice, no word three times
+    turned = "\n".join(phrases + [" ".join(p.split()[::-1]) for p in phrases])  # the same words as often, in no common run
+    assert stuffing.share(twice) == 1.0 and stuffing.share(twice, full=False) > 0.5
+    assert stuffing.share(turned) == stuffing.share(turned, full=False) == 0.0
+    assert stuffing.share("\n".join([turned, turned.replace("\n", " | ")])) == 1.0
+    glue = [f"{a} para {b}" for a, b in zip(words[:12], words[12:24])]
+    assert stuffing.share("\n".join([*glue, *glue])) == 1.0
+    assert stuffing.share(twice + "\n" + PROSE * (2 + 2 * len(twice) // len(PROSE))) < 0.5
+    a = stuffing.SuffixAutomaton([1, 2, 3, 9, 1, 2, 4, 5, 4, 6, 4])
+    assert a.covered([1, 2, 3, 4, 5], 2, 3) == [True, True, False, True, False]
+    assert a.covered([1, 3, 2, 1], 2, 3) == [False] * 4
